@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
-from ..functions.dates import before
+from ..functions.changes import differs
+from ..functions.dates import before, posted_within
 from ..operators import assign, lifecycle, override, runs, tables
 from ..operators.ordering import page
 from ..plans import joins, listings, stats, views
@@ -44,10 +45,10 @@ def q_search_total(t):
 
 
 @query("search_all_matches", "P1 P2 P7", """
-SELECT id, title FROM @job_postings p WHERE is_active AND source = 'linkedin' AND id IN (SELECT job_posting_id FROM @llm_enrichment WHERE type_datarol = 'Data Engineer')
- AND location_id IN (SELECT id FROM @locations WHERE subdivision_name_en = 'NATION_5' OR subdivision_name_en IS NOT NULL AND subdivision_name_en = 'NATION_5')""")
+SELECT id, title FROM @job_postings p WHERE is_active AND source = 'linkedin' AND id IN (SELECT job_posting_id FROM @llm_enrichment WHERE type_datarol = 'Data Analyst')
+ AND location_id IN (SELECT id FROM @locations WHERE subdivision_name_en = 'NATION_20')""")
 def search_all_matches(t):
-    s = Search(source="linkedin", type_datarol="Data Engineer", subdivision_name_en="NATION_5")
+    s = Search(source="linkedin", type_datarol="Data Analyst", subdivision_name_en="NATION_20")
     return matching(t, s, JOBS_AS_OF).select("id", "title")
 
 
@@ -81,8 +82,6 @@ def search_posted_week(t):
 SELECT count(*) FILTER (WHERE posted_date >= {JOBS_NOW} - INTERVAL 1 DAY) AS today, count(*) FILTER (WHERE posted_date >= {JOBS_NOW} - INTERVAL 7 DAY) AS week,
  count(*) FILTER (WHERE posted_date >= {JOBS_NOW} - INTERVAL 30 DAY) AS month, count(*) AS all_jobs FROM @job_postings""")
 def posted_preset_counts(t):
-    from ..functions.dates import posted_within
-
     p = F.col("posted_date")
     return t["job_postings"].agg(
         *[F.count_if(posted_within(p, n, JOBS_AS_OF)).alias(n) for n in ("today", "week", "month")],
@@ -145,8 +144,6 @@ def usable_company_seats(t):
 
 @query("size_label_differs", "P16", "SELECT id FROM @company_master_data WHERE category_nl IS DISTINCT FROM category_en")
 def size_label_differs(t):
-    from ..functions.changes import differs
-
     return t["company_master_data"].where(differs(F.col("category_nl"), F.col("category_en"))).select("id")
 
 
@@ -486,7 +483,7 @@ def latest_ranking_rows(t):
 
 
 @query("query_history_by_text", "J17", f"""
-WITH r AS (SELECT search_query, location_query, max(started_at) AS m, sum(coalesce(jobs_found, 0)) AS j, count(*) AS n, arg_max(id, (started_at, id)) AS lid
+WITH r AS (SELECT search_query, location_query, max(started_at) AS m, sum(coalesce(jobs_found, 0)) AS j, count(*) AS n, arg_max(id, (coalesce(started_at, TIMESTAMP '1900-01-01'), id)) AS lid
  FROM @scrape_runs GROUP BY 1, 2)
 SELECT q.id, {ts('r.m', 'last_run_at')}, lid AS last_run_id, CAST(coalesce(j, 0) AS BIGINT) AS total_jobs, coalesce(n, 0) AS run_count
 FROM @search_queries q LEFT JOIN r ON r.search_query = q.search_query AND r.location_query = q.location_query""")

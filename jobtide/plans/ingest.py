@@ -45,8 +45,8 @@ def ingest_items(items: DataFrame, source: str, run_id: str, tables: Mapping[str
     return IngestResult(result.tables, result.results.unionByName(errors))
 
 
-def resolve_companies(rows: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``company_id``, companies with new ones added).
+def resolve_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """(rows with ``company_id`` and ``_created``, true for companies that are not stored yet).
 
     A record with a vendor id matches by that id only. One without matches by name: a stored company
     with a logo, then one with a vendor id, then one created earlier in this batch, then any stored
@@ -75,29 +75,34 @@ def resolve_companies(rows: DataFrame, companies: DataFrame) -> tuple[DataFrame,
         F.min("arrival").alias("_made_at"), F.min_by("_own_id", "arrival").alias("_made_id")
     )
     first_is_strong = F.coalesce(F.col("_logo") | F.col("_known"), F.lit(False))
-    resolved = (
+    earlier = F.when(F.col("_made_at") < F.col("arrival"), F.col("_made_id"))
+    stored = F.when(
+        F.col("_own_id").isNull(),
+        F.when(first_is_strong | earlier.isNull(), F.col("_by_name")),
+    ).otherwise(F.col("_by_id"))
+    new_by_name = F.sha2(F.concat(F.lit("name:"), "name"), 256)
+    return (
         keyed.join(created, "name", "left")
         .join(by_name, "name", "left")
-        .withColumn(
-            "company_id",
-            F.coalesce(
-                "_own_id",
-                F.when(first_is_strong, F.col("_by_name")),
-                F.when(F.col("_made_at") < F.col("arrival"), F.col("_made_id")),
-                F.col("_by_name"),
-                F.sha2(F.concat(F.lit("name:"), "name"), 256),
-            ),
+        .withColumns(
+            {
+                "company_id": F.coalesce(stored, F.col("_own_id"), earlier, new_by_name),
+                "_created": stored.isNull(),
+            }
         )
+        .select(*rows.columns, "company_id", "_created")
     )
+
+
+def with_new_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Stored companies plus one row per new one, from the first record that named it."""
     fresh = (
-        resolved.where(F.col("_own_id").isNull() | made)
+        rows.where("_created")
         .groupBy(F.col("company_id").alias("id"))
         .agg(F.min_by("company", "arrival").alias("c"))
-        .join(companies.select("id"), "id", "left_anti")
         .select("id", "c.*", F.lit(False).alias("has_logo"))
     )
-    kept = resolved.select(*rows.columns, "company_id")
-    return kept, companies.unionByName(fresh, allowMissingColumns=True)
+    return companies.unionByName(fresh, allowMissingColumns=True)
 
 
 def resolve_locations(rows: DataFrame, locations: DataFrame, master: DataFrame | None, vague: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -178,9 +183,23 @@ def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def _as_stored(value: Column, name: str, incoming: DataFrame, stored: DataFrame) -> Column:
+    """``value`` in the stored column's type; untouched when the types already agree."""
+    target = stored.schema[name].dataType
+    same = target.simpleString() == incoming.schema[name].dataType.simpleString()
+    return value if same else value.cast(target)
+
+
 def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str, DataFrame], as_of: AsOf) -> IngestResult:
+    """Apply typed rows to the tables.
+
+    The rows are stored once as they come. Only their narrow part (no descriptions) goes through the
+    key joins, and it is stored after each resolution step, because several branches read it.
+    """
     now = instant(as_of)
-    rows, companies = resolve_companies(rows, tables["companies"])
+    frozen = cut_lineage(rows)
+    rows = cut_lineage(resolve_companies(frozen.drop("description", "poster"), tables["companies"]))
+    companies = with_new_companies(rows, tables["companies"])
     rows, locations = resolve_locations(
         rows, tables["locations"], tables.get("company_master_data"), tables.get("vague_locations_config")
     )
@@ -189,7 +208,6 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     rows = rows.join(names, "company_id", "left").withColumns(
         {"dedup_key": text.dedup_key(title, F.col("_company_name")), "title_normalized": text.ingest_title(title)}
     ).drop("_company_name")
-    # Read by six branches below; stored once so the scan and the key joins run once.
     rows = cut_lineage(rows)
 
     postings, sources = tables["job_postings"], tables["job_sources"]
@@ -210,11 +228,9 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     stored = found.join(sightings, "_stored_id", "left")
 
     firsts = rows.groupBy("dedup_key").agg(
-        F.min("arrival").alias("_first"),
-        F.min_by(F.struct("source_job_id", "description", "poster"), "arrival").alias("_opening"),
-        F.max_by("title_normalized", "arrival").alias("title_normalized"),
+        F.min("arrival").alias("_first"), F.min_by("source_job_id", "arrival").alias("_source_job_id")
     )
-    winners = winning_rows(rows, stored)
+    winners = cut_lineage(winning_rows(rows, stored))
     jobs = (
         firsts.join(winners, "dedup_key")
         .join(stored.drop("_old"), "dedup_key", "left")
@@ -237,21 +253,28 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
         postings,
         changed.select("id", "_replace", *fields),
         ["id"],
-        {c: F.col(f"src_{c}").cast(postings.schema[c].dataType) for c in fields if c in postings.columns},
+        {c: _as_stored(F.col(f"src_{c}"), c, data, postings) for c in fields if c in postings.columns},
         when=F.col("src__replace"),
     )
     updated = update_from(updated, changed.select("id").withColumn("seen", now), ["id"], {"last_seen_at": F.col("src_seen")})
-    job_ids = jobs.select("dedup_key", F.col("id").alias("job_posting_id"), F.col("_stored_id").isNull().alias("_new"), "_opening", "_first")
+    job_ids = cut_lineage(
+        jobs.select(
+            "dedup_key", F.col("id").alias("job_posting_id"), F.col("_stored_id").isNull().alias("_new"), "_first", "_source_job_id"
+        )
+    )
 
     seen = job_ids.select("job_posting_id").withColumn("source", F.lit(source))
     bumped = update_from(sources, seen.withColumn("at", now), ["job_posting_id", "source"], {"last_seen_at": F.col("src_at")})
     new_sources = job_ids.select(
-        "job_posting_id", F.lit(source).alias("source"), F.col("_opening.source_job_id").alias("source_job_id"),
+        "job_posting_id", F.lit(source).alias("source"), F.col("_source_job_id").alias("source_job_id"),
         now.alias("first_seen_at"), now.alias("last_seen_at"),
     )
-    opening = job_ids.where("_new")
-    descriptions = opening.select("job_posting_id", "_opening.description.*")
-    posters = opening.where(F.col("_opening.poster").isNotNull()).select("job_posting_id", "_opening.poster.*")
+    opening = job_ids.where("_new").select("job_posting_id", F.col("_first").alias("arrival"))
+    descriptions = frozen.select("arrival", "description").join(opening, "arrival").select("job_posting_id", "description.*")
+    posters = (
+        frozen.where(F.col("poster").isNotNull()).select("arrival", "poster").join(opening, "arrival")
+        .select("job_posting_id", "poster.*")
+    )
     stubs = opening.select("job_posting_id").withColumn("created_at", now)
 
     results = (

@@ -24,9 +24,13 @@ INDEED_DEFAULTS = {
 }
 
 
-def read_snapshot(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Items of landed JSON arrays, in file order (``arrival``)."""
-    items = spark.read.schema(ITEM_SCHEMAS[source]).option("multiLine", True).json(path)
+def read_snapshot(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
+    """Items of landed JSON files, in file order (``arrival``).
+
+    A file holds one JSON array, read by one task, or with ``lines`` one item per line, which large
+    files need to be split over tasks.
+    """
+    items = spark.read.schema(ITEM_SCHEMAS[source]).option("multiLine", not lines).json(path)
     return items.withColumn("arrival", F.monotonically_increasing_id())
 
 
