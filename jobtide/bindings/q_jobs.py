@@ -36,7 +36,7 @@ def ranking_run(t):
 
 
 @query("stored_ranking", "S30 C2", f"""
-WITH {RANKED} SELECT id, round_even(base_score, 2) AS base_score, round_even(final_score, 2) AS ranking_score, final_rank AS ranking_position,
+WITH {RANKED} SELECT id, round_even(base_score, 2) + 0::DOUBLE AS base_score, round_even(final_score, 2) + 0::DOUBLE AS ranking_score, final_rank AS ranking_position,
  strftime({JOBS_NOW}, '%Y-%m-%d %H:%M:%S') AS ranking_updated_at, round_even(hourly_multiplier, 3) AS hourly_multiplier, FALSE AS needs_ranking,
  CAST(company_rank AS VARCHAR) AS company_rank, CAST(role_match_score AS VARCHAR) AS role_match_score FROM s5""")
 def stored_ranking(t):
@@ -125,8 +125,9 @@ win AS (SELECT dedup_key, max(arrival) AS a FROM ch WHERE changed GROUP BY 1)
 SELECT coalesce(CAST(ch.old_id AS VARCHAR), sha256(ch.dedup_key)) AS id, ch.job_title AS title, ch.job_posting_id AS linkedin_job_id, ch.job_num_applicants AS num_applicants, coalesce(url, job_url) AS job_url
 FROM ch JOIN win ON win.dedup_key = ch.dedup_key AND win.a = ch.arrival""")
 def ingest_postings(t):
-    out = ingested(t).tables["job_postings"]
-    return out.where(F.col("last_seen_at") == F.lit(JOBS_AS_OF).cast("timestamp")).select(
+    out = ingested(t)
+    touched = out.results.select(F.col("job_id").alias("id"))
+    return out.tables["job_postings"].join(touched, "id", "left_semi").select(
         "id", "title", "linkedin_job_id", F.col("num_applicants").cast("int").alias("num_applicants"), "job_url"
     )
 

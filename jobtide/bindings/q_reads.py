@@ -109,8 +109,7 @@ def search_page_two(t):
 
 @query("queries_of_first_source", "P11", "SELECT id, search_query FROM @search_queries WHERE source = 'linkedin' OR source IS NULL")
 def queries_of_first_source(t):
-    n = 2**31 - 1
-    return listings.query_page(t["search_queries"], "linkedin", None, n).select("id", "search_query")
+    return listings.of_source(t["search_queries"], "linkedin").select("id", "search_query")
 
 
 @query("runs_between", "P12", f"""

@@ -10,7 +10,10 @@ from .views import Tables
 
 
 def job_details(t: Tables) -> DataFrame:
-    """Postings with company, place, description length, enrichment, and posters and sources as arrays."""
+    """Postings with company, place, description, enrichment, and posters and sources as arrays.
+
+    Both arrays are short by the data model: a posting has one entry per source, and ingest writes one
+    poster with a new posting."""
     posters = t["job_posters"].groupBy("job_posting_id").agg(
         F.array_sort(F.collect_list(F.struct("name", "title"))).alias("posters")
     )

@@ -110,12 +110,15 @@ def run_detail(runs: DataFrame) -> DataFrame:
     )
 
 
-def query_page(queries: DataFrame, source: str, active: bool | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest queries of a source; queries without one belong to the first source."""
+def of_source(df: DataFrame, source: str) -> DataFrame:
+    """Rows of a source; rows without one belong to the first source."""
     mine = F.col("source") == source
-    if source == "linkedin":
-        mine = mine | F.col("source").isNull()
-    found = queries.where(mine)
+    return df.where(mine | F.col("source").isNull() if source == "linkedin" else mine)
+
+
+def query_page(queries: DataFrame, source: str, active: bool | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Newest queries of a source."""
+    found = of_source(queries, source)
     if active is not None:
         found = found.where(F.col("is_active") == F.lit(active))
     return page(found, [F.col("created_at").desc_nulls_last(), F.col("id")], limit, offset)

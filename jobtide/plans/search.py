@@ -10,6 +10,9 @@ from ..functions.dates import AsOf, posted_within
 from ..operators.ordering import page
 from .views import Tables
 
+# A page is sent to every task only up to this many ids; a longer one is joined by shuffle.
+BROADCAST_ROWS = 10_000
+
 SORTABLE = (
     "ranking_position", "ranking_score", "base_score", "posted_date", "created_at", "last_seen_at", "title",
     "num_applicants", "base_salary_min", "base_salary_max", "id",
@@ -125,8 +128,10 @@ def search_page(t: Tables, s: Search, as_of: AsOf) -> DataFrame:
 
     The page is cut first; only its at most ``limit`` rows meet the other tables.
     """
-    rows = page(matching(t, s, as_of), sort_order(s), s.limit, s.offset).withColumn("_page", F.lit(1))
-    ids = F.broadcast(rows.select(F.col("id").alias("job_posting_id")))  # at most s.limit rows
+    rows = page(matching(t, s, as_of), sort_order(s), s.limit, s.offset)
+    ids = rows.select(F.col("id").alias("job_posting_id"))
+    if s.limit <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     sources = t["job_sources"].join(ids, "job_posting_id", "left_semi").groupBy("job_posting_id").agg(
         F.array_sort(F.collect_list(F.struct("source", "source_job_id"))).alias("sources")
     )
@@ -153,7 +158,6 @@ def search_page(t: Tables, s: Search, as_of: AsOf) -> DataFrame:
         .join(types.withColumnRenamed("job_posting_id", "id"), "id", "left")
         .join(e.withColumnRenamed("job_posting_id", "id"), "id", "left")
         .withColumn("ai_enriched", F.coalesce("ai_enriched", F.lit(False)))
-        .drop("_page")
     )
 
 

@@ -238,11 +238,11 @@ def scored_coverage(t: Tables) -> DataFrame:
 
 
 def shares(df: DataFrame, column: str, digits: int = 2, keep_null: bool = False) -> DataFrame:
-    """Count and percent of total per value. The total is a scalar over the grouped counts, not a
+    """Count and percent of total per value. The total is a scalar over the same grouped counts, not a
     one-partition window over the rows."""
     kept = df if keep_null else df.where(F.col(column).isNotNull())
     counts = kept.groupBy(column).agg(F.count("*").alias("count"))
-    total = kept.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("percentage", F.round(F.col("count") * F.lit(100.0) / total, digits))
 
 
@@ -289,19 +289,23 @@ def ranking_runs(postings: DataFrame) -> DataFrame:
 
 
 def shared_positions(latest: DataFrame, limit: int = 10) -> DataFrame:
-    """Positions held by several postings, with their titles joined in order.
+    """The first ``limit`` positions held by several postings, with their titles joined in order.
 
-    The lists are built only for the first ``limit`` shared positions."""
+    Equal titles are counted before they are listed, so what is gathered per position is its distinct
+    titles; the repeats are written out again in the joined text."""
     shared = (
         latest.groupBy("ranking_position").agg(F.count("*").alias("count")).where("count > 1")
         .orderBy("ranking_position").limit(limit)
     )
     label = F.concat(F.col("title"), F.lit(" ("), F.coalesce("source", F.lit("no source")), F.lit(")"))
-    return (
+    titles = (
         latest.join(F.broadcast(shared), "ranking_position")  # at most `limit` rows
-        .groupBy("ranking_position", "count")
-        .agg(F.concat_ws(" | ", F.sort_array(F.collect_list(label))).alias("jobs"))
+        .groupBy("ranking_position", "count", label.alias("label"))
+        .agg(F.count("*").cast("int").alias("times"))
     )
+    listed = F.array_sort(F.collect_list(F.struct("label", "times")))
+    written = F.transform(listed, lambda x: F.array_join(F.array_repeat(x["label"], x["times"]), " | "))
+    return titles.groupBy("ranking_position", "count").agg(F.array_join(written, " | ").alias("jobs"))
 
 
 def position_audit(postings: DataFrame, limit: int = 20) -> DataFrame:

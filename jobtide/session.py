@@ -14,7 +14,8 @@ SCALE_SETTINGS = {
     # Aggregate and shuffle stages of one plan are re-planned at run time; small sides become
     # broadcasts only when their measured size is below this bound.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoint files go when the table that needed them is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
