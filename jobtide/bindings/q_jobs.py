@@ -48,6 +48,15 @@ def stored_ranking(t):
     )
 
 
+@query("rankings_saved", "S30 S17 C2", f"""
+WITH {RANKED} SELECT p.id, CASE WHEN s5.id IS NULL THEN p.ranking_position ELSE s5.final_rank END AS ranking_position,
+ CASE WHEN s5.id IS NULL THEN p.base_score ELSE round_even(s5.base_score, 2) + 0::DOUBLE END AS base_score, s5.id IS NULL AND p.needs_ranking AS needs_ranking
+FROM @job_postings p LEFT JOIN s5 ON s5.id = p.id""")
+def rankings_saved(t):
+    ranked = ranking.rank_postings(ranking_view(t), JOBS_AS_OF)
+    return ranking.save_rankings(t["job_postings"], ranked, JOBS_AS_OF).select("id", "ranking_position", "base_score", "needs_ranking")
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 
@@ -106,6 +115,13 @@ def ingest_statuses(t):
     return ingested(t).results.select("arrival", "status", "job_id")
 
 
+@query("ingest_errors", "A12 S4", """
+SELECT arrival, CASE WHEN job_posting_id IS NULL THEN 'Field ''job_posting_id'': Field required' WHEN job_title IS NULL THEN 'Field ''job_title'': Field required' ELSE 'Field ''url'': Field required' END AS error
+FROM @linkedin_raw WHERE error IS NULL AND (job_posting_id IS NULL OR job_title IS NULL OR coalesce(url, job_url) IS NULL)""")
+def ingest_errors(t):
+    return ingest.batch_errors(ingested(t).results)
+
+
 @query("ingest_summary", "A12 C1", f"""
 WITH {INGEST.strip()}
 SELECT (SELECT count(*) FROM n WHERE old_id IS NULL AND nth = 1) AS new_count, (SELECT count(*) FROM n WHERE NOT (old_id IS NULL AND nth = 1)) AS updated_count, 0 AS skipped_count,
@@ -364,6 +380,18 @@ def activity_sessions(t):
     return sightings.activity_sessions(t["events"], ["user_id"], "ts", "2 days")
 
 
+@query("stream_activity_sessions", "R4", f"""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM @events),
+g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS active_from, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS inactive_from, count(*) AS sightings
+FROM g GROUP BY user_id, n HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM @events)""")
+def stream_activity_sessions(t):
+    """Spans of activity from a stream; a span is written once the watermark has passed its end."""
+    root = _folder(t, "sessions")
+    spans = sightings.activity_sessions(_events(t), ["user_id"], "ts", "2 hours")
+    return sightings.run_to_table(spans, f"{root}/table", f"{root}/checkpoint")
+
+
 @query("stream_ingest_landed", "R1 S1 C1", f"""
 SELECT DISTINCT sha256({sql_key('job_title', 'company_name')}) AS id, {sql_key('job_title', 'company_name')} AS dedup_key, 'linkedin' AS source
 FROM @linkedin_raw WHERE error IS NULL AND job_posting_id IS NOT NULL AND job_title IS NOT NULL AND coalesce(url, job_url) IS NOT NULL""")

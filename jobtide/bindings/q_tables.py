@@ -492,6 +492,14 @@ def consulting_sink(t):
     return df.select("id", *[v.alias(k) for k, v in sinks.consulting_columns(F.col("payload")).items()])
 
 
+@query("consulting_tally", "A37", f"""
+SELECT count(*) AS total, count(c) AS successful, count(*) - count(c) AS failed, count(*) FILTER (WHERE c) AS consulting, count(*) FILTER (WHERE NOT c) AS not_consulting
+FROM (SELECT CAST(json_extract_string(payload, '$.Consulting') AS BOOLEAN) AS c FROM ({_CONSULTING}))""")
+def consulting_tally(t):
+    df = t.sql(_CONSULTING)
+    return sinks.consulting_tally(df.select(*[v.alias(k) for k, v in sinks.consulting_columns(F.col("payload")).items()]))
+
+
 _RELEVANCE = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size * 3 AS STRING) WHEN 1 THEN ' 77 ' WHEN 2 THEN 'high' WHEN 3 THEN '-5' ELSE '8.5' END AS answer FROM @part"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import jsonx, scores
 from ..functions.dates import AsOf, instant
 from .ordering import global_position, rank_in_groups, slice_by_order
+from .tables import update_from
 
 RANK_KEYS = (
     ("company_rank", "company_id"),
@@ -75,6 +76,16 @@ def rank_postings(view: DataFrame, as_of: AsOf) -> DataFrame:
     return final_ranks(apply_modifiers(diversity_ranks(score_postings(view, as_of)), as_of))
 
 
+def save_rankings(postings: DataFrame, ranked: DataFrame, as_of: AsOf) -> DataFrame:
+    """Postings with the columns of the new ranking; postings that were not ranked keep theirs."""
+    new = stored_ranking(ranked, as_of)
+    fields = [c for c in new.columns if c != "id"]
+    return update_from(
+        postings, new, ["id"],
+        {c: F.col(f"src_{c}").cast(postings.schema[c].dataType) if c in postings.columns else F.col(f"src_{c}") for c in fields},
+    )
+
+
 def stored_ranking(ranked: DataFrame, as_of: AsOf) -> DataFrame:
     """The columns written back: rounded scores, one run instant, the breakdown as JSON."""
     breakdown = F.struct(

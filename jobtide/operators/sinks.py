@@ -274,6 +274,17 @@ def sync_subdivision(locations: DataFrame) -> DataFrame:
     return locations.withColumn("subdivision_name_nl", F.col("subdivision_name"))
 
 
+def consulting_tally(results: DataFrame) -> DataFrame:
+    """Outcome counts of a consulting run (columns is_consulting, consulting_error)."""
+    return results.agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("consulting_error").isNull()).alias("successful"),
+        F.count_if(F.col("consulting_error").isNotNull()).alias("failed"),
+        F.count_if(F.col("is_consulting")).alias("consulting"),
+        F.count_if(~F.col("is_consulting")).alias("not_consulting"),
+    )
+
+
 def result_tally(results: DataFrame) -> DataFrame:
     """Outcome counts of a batch of attempts (columns success, error)."""
     return results.agg(

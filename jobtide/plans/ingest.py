@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import location, text
 from ..functions.changes import WATCHED
 from ..functions.dates import AsOf, instant
-from ..session import cut_lineage
+from ..session import cut_lineage, store_wide
 from ..sources import snapshots
 from ..operators.ordering import best_row
 from ..operators.override import vague_strings
@@ -197,7 +197,7 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     key joins, and it is stored after each resolution step, because several branches read it.
     """
     now = instant(as_of)
-    frozen = cut_lineage(rows)
+    frozen = store_wide(rows)
     rows = cut_lineage(resolve_companies(frozen.drop("description", "poster"), tables["companies"]))
     companies = with_new_companies(rows, tables["companies"])
     rows, locations = resolve_locations(

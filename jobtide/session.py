@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +15,6 @@ SCALE_SETTINGS = {
     # Aggregate and shuffle stages of one plan are re-planned at run time; small sides become
     # broadcasts only when their measured size is below this bound.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    # Checkpoint files go when the table that needed them is no longer referenced.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -49,14 +48,33 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and continue from the stored rows.
+    """Write narrow rows to the checkpoint folder once and continue from the stored rows.
 
-    Used where a value depends on physical placement (a range slice, a row number inside it): after
-    this, a lost executor re-reads the same rows and cannot see other slice borders.
+    Used where several branches read the same rows, and where a value depends on physical placement (a
+    range slice, a row number inside it): a lost executor then re-reads the same rows.
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
+def store_wide(df: DataFrame) -> DataFrame:
+    """Like :func:`cut_lineage` for rows with long texts: a Parquet table in the checkpoint folder, so
+    that each reader scans only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/jobtide/{spark.sparkContext.applicationId}"
+
+
+def drop_wide(spark: SparkSession) -> None:
+    """Delete the tables :func:`store_wide` wrote for this application, once nothing reads them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

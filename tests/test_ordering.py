@@ -47,6 +47,14 @@ def test_rank_in_groups(spark):
     assert got == expected
 
 
+def test_deep_page_equals_near_page(spark, monkeypatch):
+    df = spark.createDataFrame(sample(), "id string, g string, s double")
+    order = [F.col("s").desc(), F.col("id")]
+    near = [r["id"] for r in ordering.page(df, order, 40, 700).collect()]
+    monkeypatch.setattr(ordering, "DEEP_PAGE", 100)
+    assert sorted(r["id"] for r in ordering.page(df, order, 40, 700).collect()) == sorted(near)
+
+
 def test_best_row_and_page(spark):
     df = spark.createDataFrame([(1, "a", 3), (2, "a", 9), (3, "b", None)], "id int, k string, v int")
     best = {r["k"]: r["id"] for r in ordering.best_row(df, ["k"], [-F.col("v"), F.col("id")]).collect()}
