@@ -65,7 +65,7 @@ SELECT 1000000 + c_custkey AS id, c_custkey AS company_id,
   CASE WHEN c_custkey % 4 <> 3 THEN c_name || ' makes software' END AS bedrijfsomschrijving_en,
   1950 + c_custkey % 70 AS founded_year,
   c_mktsegment AS industry
-FROM @customer WHERE c_custkey % 6 <> 5
+FROM @customer WHERE c_acctbal >= 1000
 """
 
 DERIVED["locations"] = """
@@ -126,7 +126,7 @@ SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 26 = 0 THEN 'Unexpected classification: x' END AS title_classification_error,
   CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_orderkey % 50 = 9 THEN ' '
        ELSE 'title ' || CAST(o_orderkey % 4 AS STRING) || '|company ' || CAST(o_custkey AS STRING) END AS dedup_key,
-  CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE o_orderkey * 7 % 5003 + 1 END AS ranking_position,
+  CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE o_orderkey * 7 % 1009 + 1 END AS ranking_position,
   CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderkey * 31 % 10007 AS DOUBLE) / 64 END AS ranking_score,
   CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderkey * 17 % 10007 AS DOUBLE) / 64 END AS base_score,
   CASE WHEN o_orderkey % 10 <> 9 THEN CAST('2001-08-01 06:00:00' AS TIMESTAMP) + (o_orderkey % 3) * INTERVAL '1' HOUR END AS ranking_updated_at,
@@ -137,7 +137,7 @@ FROM @orders
 """
 
 DERIVED["job_descriptions"] = """
-SELECT doc_id AS job_posting_id, substr(text, 1, 80) AS summary,
+SELECT doc_id AS job_posting_id, 'Document ' || CAST(doc_id AS STRING) || ' in ' || lang AS summary,
   CASE WHEN doc_id % 17 = 3 THEN '' ELSE text END AS full_description_text
 FROM @documents
 """
@@ -145,7 +145,7 @@ FROM @documents
 DERIVED["job_posters"] = """
 SELECT conv_id * 100 + turn AS id, conv_id AS job_posting_id, role || ' ' || CAST(turn AS STRING) AS name,
   CASE WHEN turn % 2 = 0 THEN 'Recruiter' END AS title
-FROM @conversations WHERE turn < 3
+FROM @conversations WHERE role = 'user'
 """
 
 DERIVED["llm_enrichment"] = """
@@ -173,13 +173,13 @@ SELECT o_orderkey + 5000000 AS id, o_orderkey AS job_posting_id,
   CASE o_orderkey % 3 WHEN 0 THEN '[{"key":"remote_policy","found":true,"value":"hybrid"},{"key":"company_car","found":false}]'
        WHEN 1 THEN '[{"key":"salary_range","found":true,"value":"3000"},{"key":"remote_policy","found":false}]' END AS perks,
   CASE WHEN o_orderkey % 3 = 0 THEN 'hybrid' END AS perk_remote_policy
-FROM @orders WHERE o_orderkey % 7 <> 0
+FROM @orders WHERE o_totalprice >= 60000
 """
 
 DERIVED["job_sources"] = """
 SELECT l_orderkey AS job_posting_id, CASE WHEN l_returnflag = 'A' THEN 'indeed' ELSE 'linkedin' END AS source,
   min('src-' || CAST(l_partkey AS STRING)) AS source_job_id, min(l_shipdate) AS first_seen_at, max(l_shipdate) AS last_seen_at
-FROM @lineitem WHERE l_linenumber <= 2 AND l_orderkey % 7 <> 3 GROUP BY 1, 2
+FROM @lineitem WHERE l_quantity >= 30 GROUP BY 1, 2
 """
 
 DERIVED["job_scrape_history"] = """
@@ -197,7 +197,7 @@ FROM @region
 
 DERIVED["job_type_assignments"] = """
 SELECT o_orderkey AS job_posting_id, CAST(o_orderkey % 4 AS INT) AS job_type_id, 'manual' AS assigned_via
-FROM @orders WHERE o_orderkey % 4 <> 3 OR o_orderkey % 5 = 0
+FROM @orders WHERE o_orderpriority <> '5-LOW'
 """
 
 DERIVED["search_queries"] = """
@@ -243,7 +243,7 @@ FROM @part
 DERIVED["ecosystems"] = """
 SELECT p_partkey AS id, p_brand || '-' || CAST(p_partkey AS STRING) AS name, upper(p_brand) AS display_name, p_type AS category,
   p_size % 7 <> 0 AS is_active, CASE WHEN p_size % 3 <> 0 THEN CAST(p_partkey * 11 % 101 AS INT) END AS relevance_score
-FROM @part WHERE p_partkey % 2 = 0
+FROM @part WHERE p_size >= 20
 """
 
 DERIVED["job_programming_languages"] = """
@@ -255,7 +255,7 @@ FROM @lineitem GROUP BY 1, 2
 DERIVED["job_ecosystems"] = """
 SELECT l_orderkey AS job_posting_id, l_partkey AS ecosystem_id,
   min(CASE WHEN l_linestatus = 'O' THEN 'must_have' ELSE 'nice_to_have' END) AS requirement_level
-FROM @lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2
+FROM @lineitem WHERE l_discount >= 0.05 GROUP BY 1, 2
 """
 
 DERIVED["linkedin_raw"] = """
@@ -338,7 +338,7 @@ SELECT o_orderkey AS job_posting_id,
    WHEN 1 THEN '{"data_role_type":"Data Engineer","role_level":["Technical","Lead"],"seniority":["Senior"],"contract":[],"sourcing_type":"Direct","summary_short":"Short","summary_long":"Long ' || CAST(o_orderkey AS STRING) || '","must_have_languages":["Python","SQL"],"labels":{"nl":{"seniority":["Senior"]}},"perk_company_car":"yes"}'
    WHEN 2 THEN '{"data_role_type":"Data Analyst","summary_short_nl":"Kort","must_have_ecosystems":["Azure"],"labels":{}}'
    ELSE '{"sourcing_type":"Agency","remote_work_policy":"hybrid"}' END AS payload
-FROM @orders WHERE o_orderkey % 5 = 1
+FROM @orders WHERE o_orderstatus = 'F'
 """
 
 DERIVED["company_results"] = """
@@ -348,13 +348,13 @@ SELECT c_custkey AS company_id,
    WHEN 1 THEN '{"maturity":{"category_en":"SME","category_fr":"PME","confidence":0.75},"bedrijfswebsite":"https://old.example","locatie_belgie":"Brugge"}'
    WHEN 2 THEN '{"category":{"en":"Corporate","nl":"Corporate"},"website":"","bedrijfswebsite":"https://b.example","employee_count_range":"51-200"}'
    ELSE '{"category_en":"Startup","sector_en":"IT","email_hr":"hr"}' END AS payload
-FROM @customer WHERE c_custkey % 3 <> 1
+FROM @customer WHERE c_mktsegment <> 'FURNITURE'
 """
 
 DERIVED["location_results"] = """
 SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN '{"timezone":"Europe/Brussels","subdivision_name":"East Flanders","city_name_fr":null}'
    ELSE '{"city_name_en":"Ghent","country_name_nl":"België"}' END AS payload
-FROM @supplier WHERE s_suppkey % 3 <> 0
+FROM @supplier WHERE s_acctbal >= 2000
 """
 
 DERIVED["size_results"] = """
@@ -363,12 +363,12 @@ SELECT 1000000 + c_custkey AS id, CASE c_custkey % 5
    WHEN 1 THEN '{"category":"huge","confidence":0.5,"summary":{"en":"x"}}'
    WHEN 2 THEN '{"category":"sme","confidence":0.25}' WHEN 3 THEN ''
    ELSE '{"category":"government","confidence":"0.75","summary":{"fr":"etat"}}' END AS payload
-FROM @customer WHERE c_custkey % 6 <> 5 AND c_custkey % 2 = 0
+FROM @customer WHERE c_acctbal >= 4000
 """
 
 DERIVED["title_answers"] = """
 SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Data' WHEN 1 THEN ' NIS ' WHEN 2 THEN 'data' WHEN 3 THEN 'Other' ELSE 'Data' END AS answer
-FROM @orders WHERE o_orderkey % 3 = 0
+FROM @orders WHERE o_orderstatus = 'O'
 """
 
 _REF = re.compile(r"@(\w+)")

@@ -325,12 +325,14 @@ def due_retries(t):
 
 
 @query("metadata_merge", "M22", """
-SELECT id, coalesce(json_extract_string(metadata, '$.k'), '-') AS k, 'killed' AS reason, '1' AS source FROM @scrape_runs WHERE id % 5 <> 2""")
+SELECT id, coalesce(json_extract_string(metadata, '$.k'), '-') AS k, 'killed' AS reason, '1' AS source,
+ CASE WHEN json_extract(metadata, '$.error_details') IS NOT NULL THEN '["bad row","no title"]' END AS error_details FROM @scrape_runs""")
 def metadata_merge(t):
     merged = jsonx.merge_text_map(F.col("metadata"), F.lit('{"reason":"killed","source":1}'))
     m = F.col("m")
-    return t["scrape_runs"].where("id % 5 <> 2").select("id", merged.alias("m")).select(
-        "id", F.coalesce(jsonx.path(m, "k"), F.lit("-")).alias("k"), jsonx.path(m, "reason").alias("reason"), jsonx.path(m, "source").alias("source")
+    return t["scrape_runs"].select("id", merged.alias("m")).select(
+        "id", F.coalesce(jsonx.path(m, "k"), F.lit("-")).alias("k"), jsonx.path(m, "reason").alias("reason"),
+        jsonx.path(m, "source").alias("source"), jsonx.path(m, "error_details").alias("error_details"),
     )
 
 

@@ -214,11 +214,11 @@ def duplicate_document_texts(t):
 
 
 @query("shared_ranking_positions", "A25 A26", f"""
-WITH l AS (SELECT * REPLACE (ranking_position % 500 AS ranking_position) FROM @job_postings WHERE {_RANKED} AND ranking_updated_at = (SELECT max(ranking_updated_at) FROM @job_postings WHERE {_RANKED}))
+WITH l AS (SELECT * FROM @job_postings WHERE {_RANKED} AND ranking_updated_at = (SELECT max(ranking_updated_at) FROM @job_postings WHERE {_RANKED}))
 SELECT ranking_position, count(*) AS count, string_agg(title || ' (' || coalesce(source, 'no source') || ')', ' | ' ORDER BY title || ' (' || coalesce(source, 'no source') || ')') AS jobs
 FROM l GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10""")
 def shared_ranking_positions(t):
-    return stats.shared_positions(joins.latest_ranking(t["job_postings"].withColumn("ranking_position", F.col("ranking_position") % 500)))
+    return stats.shared_positions(joins.latest_ranking(t["job_postings"]))
 
 
 @query("ranking_position_copies", "A25", "SELECT ranking_position, count(*) AS copies FROM @job_postings WHERE ranking_position IS NOT NULL GROUP BY 1 HAVING count(*) > 1")

@@ -233,13 +233,13 @@ def company_bulk_lookup(t):
 
 @query("master_data_upsert", "S13", """
 WITH n AS (SELECT c_custkey AS company_id, CASE WHEN c_custkey % 2 = 0 THEN 'IT' END AS sector_en, CAST(NULL AS VARCHAR) AS ai_enrichment_error,
-  TRUE AS ai_enriched FROM @customer WHERE c_custkey % 4 = 0)
+  TRUE AS ai_enriched FROM @customer WHERE c_mktsegment = 'AUTOMOBILE')
 SELECT coalesce(n.company_id, m.company_id) AS company_id, coalesce(n.sector_en, m.sector_en) AS sector_en,
  CASE WHEN n.company_id IS NOT NULL THEN n.ai_enrichment_error ELSE m.ai_enrichment_error END AS ai_enrichment_error,
  coalesce(n.ai_enriched, m.ai_enriched) AS ai_enriched, m.hiring_model
 FROM @company_master_data m FULL JOIN n ON m.company_id = n.company_id""")
 def master_data_upsert(t):
-    new = t["customer"].where("c_custkey % 4 = 0").select(
+    new = t["customer"].where("c_mktsegment = 'AUTOMOBILE'").select(
         F.col("c_custkey").alias("company_id"), F.when(F.col("c_custkey") % 2 == 0, "IT").alias("sector_en"),
         F.lit(None).cast("string").alias("ai_enrichment_error"), F.lit(True).alias("ai_enriched"),
     )

@@ -230,10 +230,9 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     firsts = rows.groupBy("dedup_key").agg(
         F.min("arrival").alias("_first"), F.min_by("source_job_id", "arrival").alias("_source_job_id")
     )
-    winners = cut_lineage(winning_rows(rows, stored))
-    jobs = (
-        firsts.join(winners, "dedup_key")
-        .join(stored.drop("_old"), "dedup_key", "left")
+    jobs = cut_lineage(
+        firsts.join(winning_rows(rows, stored), "dedup_key")
+        .join(stored.select("dedup_key", "_stored_id"), "dedup_key", "left")
         .withColumn("id", F.coalesce("_stored_id", F.sha2("dedup_key", 256)))
     )
     data = jobs.select(
@@ -257,10 +256,8 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
         when=F.col("src__replace"),
     )
     updated = update_from(updated, changed.select("id").withColumn("seen", now), ["id"], {"last_seen_at": F.col("src_seen")})
-    job_ids = cut_lineage(
-        jobs.select(
-            "dedup_key", F.col("id").alias("job_posting_id"), F.col("_stored_id").isNull().alias("_new"), "_first", "_source_job_id"
-        )
+    job_ids = jobs.select(
+        "dedup_key", F.col("id").alias("job_posting_id"), F.col("_stored_id").isNull().alias("_new"), "_first", "_source_job_id", "_replace"
     )
 
     seen = job_ids.select("job_posting_id").withColumn("source", F.lit(source))
@@ -279,8 +276,7 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
 
     results = (
         rows.select("arrival", "dedup_key")
-        .join(job_ids.select("dedup_key", "job_posting_id", "_new", "_first"), "dedup_key")
-        .join(winners.select("dedup_key", "_replace"), "dedup_key")
+        .join(job_ids.drop("_source_job_id"), "dedup_key")
         .select(
             "arrival",
             F.when(F.col("_new") & (F.col("arrival") == F.col("_first")), "new").otherwise("updated").alias("status"),
