@@ -24,7 +24,7 @@ def normalized_titles(t):
 @query("normalized_documents", "T1", f"SELECT doc_id, md5({sql_title('text')}) AS normalized_hash, length({sql_title('text')}) AS normalized_length FROM @documents")
 def normalized_documents(t):
     n = text.normalize_title(F.col("text"))
-    return t["documents"].select("doc_id", F.md5(n).alias("normalized_hash"), F.length(n).alias("normalized_length"))
+    return t["documents"].select("doc_id", F.md5(n).alias("normalized_hash"), F.length(n).cast("bigint").alias("normalized_length"))
 
 
 @query("dedup_keys", "T2 T3 S17", f"""
@@ -81,7 +81,7 @@ SELECT page_id, md5(txt) AS text_hash, length(txt) AS text_length
 FROM (SELECT page_id, nullif({sql_strip(sql_collapse(_decoded("regexp_replace(html, '<[^>]+>', '', 'g')")))}, '') AS txt FROM @pages)""")
 def page_texts(t):
     txt = text.html_to_text(F.col("html"))
-    return t["pages"].select("page_id", F.md5(txt).alias("text_hash"), F.length(txt).alias("text_length"))
+    return t["pages"].select("page_id", F.md5(txt).alias("text_hash"), F.length(txt).cast("bigint").alias("text_length"))
 
 
 @query("page_urls", "T9", """

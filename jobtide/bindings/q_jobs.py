@@ -148,6 +148,35 @@ def ingest_postings(t):
     )
 
 
+@query("ingest_rerank_flags", "C1 C10", f"""
+WITH {INGEST.strip()}
+SELECT CAST(p.id AS VARCHAR) AS id, p.is_active OR p.needs_ranking OR p.id IN (SELECT old_id FROM n WHERE old_id IS NOT NULL) AS needs_ranking FROM @job_postings p WHERE p.id IN (SELECT id FROM st_p)
+UNION ALL SELECT DISTINCT sha256(dedup_key), TRUE FROM n WHERE old_id IS NULL""")
+def ingest_rerank_flags(t):
+    return ingested(t).tables["job_postings"].select("id", "needs_ranking")
+
+
+@query("ingest_run_types", "C1 C6 S14", f"""
+WITH {INGEST.strip()},
+a AS (SELECT CAST(job_posting_id AS VARCHAR) AS job_posting_id, job_type_id, assigned_via FROM @job_type_assignments)
+SELECT * FROM a UNION ALL SELECT DISTINCT coalesce(CAST(old_id AS VARCHAR), sha256(dedup_key)), 2, 'scrape' FROM n
+ WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.job_type_id = 2 AND a.job_posting_id = CAST(n.old_id AS VARCHAR))""")
+def ingest_run_types(t):
+    held = t["job_type_assignments"].withColumn("job_posting_id", F.col("job_posting_id").cast("string"))
+    return ingest.assign_run_type(held, ingested(t).results, 2)
+
+
+@query("ingest_run_closed", "C1 A12 S16", f"""
+WITH {INGEST.strip()},
+c AS (SELECT (SELECT count(*) FROM n WHERE old_id IS NULL AND nth = 1) AS nw, (SELECT count(*) FROM n WHERE NOT (old_id IS NULL AND nth = 1)) AS up,
+ (SELECT count(*) FROM @linkedin_raw WHERE error IS NULL AND (job_posting_id IS NULL OR job_title IS NULL OR coalesce(url, job_url) IS NULL)) AS er)
+SELECT r.id, CASE WHEN r.id = 20 THEN 'completed' ELSE status END AS status, CASE WHEN r.id = 20 THEN nw + up + er ELSE jobs_found END AS jobs_found, CASE WHEN r.id = 20 THEN nw ELSE jobs_new END AS jobs_new,
+ CASE WHEN r.id = 20 THEN 'New: ' || nw || ', Updated: ' || up || ', Skipped: 0, Errors: ' || er END AS batch_summary FROM @scrape_runs r, c""")
+def ingest_run_closed(t):
+    closed = ingest.close_run(t["scrape_runs"], 20, ingested(t).results, RUNS_AS_OF)
+    return closed.select("id", "status", "jobs_found", "jobs_new", F.get_json_object("metadata", "$.batch_summary").alias("batch_summary"))
+
+
 @query("ingest_sources", "C1 S14", f"""
 WITH {INGEST.strip()},
 st_s AS (SELECT CAST(s.job_posting_id AS VARCHAR) AS job_posting_id, source, source_job_id FROM @job_sources s WHERE s.job_posting_id IN (SELECT id FROM st_p))

@@ -13,13 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import location, text
-from ..functions.changes import WATCHED
+from ..functions.changes import WATCHED, differs
 from ..functions.dates import AsOf, instant
 from ..session import cut_lineage, store_wide
 from ..sources import snapshots
 from ..operators.ordering import best_row
 from ..operators.override import vague_strings
-from ..operators.tables import append_history, insert_ignore, update_from
+from ..operators.lifecycle import RANKING_FIELDS
+from ..operators.tables import append_history, insert_ignore, update_from, update_where
 
 TABLES = (
     "companies", "locations", "job_postings", "job_sources", "job_descriptions", "job_posters", "llm_enrichment",
@@ -27,6 +28,10 @@ TABLES = (
 )
 
 
+# Posting columns that a record of the source does not carry, so an update leaves them.
+KEPT_ON_UPDATE = {"linkedin": ("source", "indeed_job_id"), "indeed": ()}
+
+
 @dataclass(frozen=True)
 class IngestResult:
     tables: dict[str, DataFrame]
@@ -82,8 +87,7 @@ def resolve_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
     ).otherwise(F.col("_by_id"))
     new_by_name = F.sha2(F.concat(F.lit("name:"), "name"), 256)
     return (
-        keyed.join(created, "name", "left")
-        .join(by_name, "name", "left")
+        keyed.join(by_name.join(created, "name", "full_outer"), "name", "left")
         .withColumns(
             {
                 "company_id": F.coalesce(stored, F.col("_own_id"), earlier, new_by_name),
@@ -167,10 +171,13 @@ def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     tail = rows.join(breaks, "dedup_key", "left").where(
         F.col("_break").isNull() | (F.col("arrival") > F.col("_break"))
     )
-    first = tail.groupBy("dedup_key").agg(
+    # Grouped by the posting id instead of the key it is made from: the join above then does not fix the
+    # partitioning of the aggregate, so adaptive execution may split a key that holds much of the batch.
+    first = tail.groupBy(F.sha2("dedup_key", 256).alias("_id")).agg(
         F.min_by(F.struct("posting", "company_id", "location_id", "location_id_override"), "arrival").alias("_data"),
         F.max("_break").alias("_break"),
-    )
+        F.first("dedup_key").alias("dedup_key"),
+    ).drop("_id")
     unchanged = (
         F.coalesce(F.col("_known_source"), F.lit(False))
         & F.col("_break").isNull()
@@ -247,14 +254,33 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
         }
     )
     changed = data.where(~F.col("_new"))
-    fields = [c for c in data.columns if c not in ("id", "_new", "_replace", "dedup_key")]
+    kept_on_update = ("id", "_new", "_replace", "dedup_key", *KEPT_ON_UPDATE[source])
+    fields = [c for c in data.columns if c not in kept_on_update and c in postings.columns]
+    incoming_values = {c: _as_stored(F.col(f"src_{c}"), c, data, postings) for c in fields}
+    asks_ranking = F.lit(False)
+    for c in RANKING_FIELDS:
+        if c in fields:
+            asks_ranking = asks_ranking | differs(F.col(c), incoming_values[c])
     updated = update_from(
         postings,
         changed.select("id", "_replace", *fields),
         ["id"],
-        {c: _as_stored(F.col(f"src_{c}"), c, data, postings) for c in fields if c in postings.columns},
+        {**incoming_values, "needs_ranking": F.when(asks_ranking, True).otherwise(F.col("needs_ranking"))},
         when=F.col("src__replace"),
     )
+    # A new posting, or one changed in a ranking field, asks for a new ranking of all active ones.
+    stored_values = postings.join(changed.select("id"), "id", "left_semi").select("id", F.struct(*RANKING_FIELDS).alias("_was"))
+    was_changed = F.lit(False)
+    for c in RANKING_FIELDS:
+        if c in fields:
+            was_changed = was_changed | differs(F.col(f"_was.{c}"), _as_stored(F.col(c), c, data, postings))
+    any_changed = (
+        changed.where("_replace").join(stored_values, "id").agg(F.coalesce(F.bool_or(was_changed), F.lit(False))).scalar()
+    )
+    any_new = jobs.agg(F.coalesce(F.bool_or(F.col("_stored_id").isNull()), F.lit(False))).scalar()
+    updated = updated.withColumn(
+        "needs_ranking", F.when(F.col("is_active") & (any_new | any_changed), True).otherwise(F.col("needs_ranking"))
+    )
     updated = update_from(updated, changed.select("id").withColumn("seen", now), ["id"], {"last_seen_at": F.col("src_seen")})
     job_ids = jobs.select(
         "dedup_key", F.col("id").alias("job_posting_id"), F.col("_stored_id").isNull().alias("_new"), "_first", "_source_job_id", "_replace"
@@ -305,6 +331,32 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     )
 
 
+def assign_run_type(assignments: DataFrame, results: DataFrame, job_type_id) -> DataFrame:
+    """The run's type for every posting seen in it, unless the posting has that type already."""
+    new = results.where(F.col("job_id").isNotNull()).select(
+        F.col("job_id").cast(assignments.schema["job_posting_id"].dataType).alias("job_posting_id"),
+        F.lit(job_type_id).cast(assignments.schema["job_type_id"].dataType).alias("job_type_id"),
+        F.lit("scrape").alias("assigned_via"),
+    )
+    return insert_ignore(assignments, new, ["job_posting_id", "job_type_id"])
+
+
+def close_run(runs: DataFrame, run_id, results: DataFrame, as_of: AsOf) -> DataFrame:
+    """The run completed, with its counts and summary. The errors themselves stay rows of the results."""
+    n = batch_summary(results).agg(F.first(F.struct("new_count", "updated_count", "skipped_count", "error_count"))).scalar()
+    total = results.agg(F.count("*")).scalar()
+    parts = (("New", "new_count"), ("Updated", "updated_count"), ("Skipped", "skipped_count"), ("Errors", "error_count"))
+    summary = F.concat_ws(", ", *[F.concat(F.lit(f"{label}: "), n[c].cast("string")) for label, c in parts])
+    return update_where(
+        runs, F.col("id") == F.lit(run_id),
+        {
+            "status": "completed", "completed_at": instant(as_of), "jobs_found": total,
+            "jobs_new": n["new_count"], "jobs_updated": n["updated_count"],
+            "metadata": F.to_json(F.struct(n["error_count"].alias("jobs_error"), summary.alias("batch_summary"))),
+        },
+    )
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     """Counts by status; the per-record outcomes stay in ``results`` as rows."""
     return results.agg(

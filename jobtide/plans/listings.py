@@ -58,7 +58,7 @@ def jobs_by_hiring_model(t: Tables, model: str, classification: str | None = Non
         jobs = jobs.where(F.col("title_classification") == classification)
     firms = t["company_master_data"].where(F.col("hiring_model") == model).select("company_id", "hiring_model")
     names = t["companies"].select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
-    return jobs.join(names, "company_id").join(firms, "company_id")
+    return jobs.join(firms.join(names, "company_id"), "company_id")
 
 
 def recent_failures(df: DataFrame, key: str, error: str, at: str, parents: DataFrame, parent_key: str, name: str, limit: int) -> DataFrame:

@@ -316,7 +316,7 @@ def position_audit(postings: DataFrame, limit: int = 20) -> DataFrame:
     )
     # The window sees at most `limit` rows.
     by_score = F.row_number().over(W.orderBy(F.col("ranking_score").desc_nulls_last(), "id"))
-    return best.select("id", "ranking_position", "ranking_score", by_score.alias("score_order"))
+    return best.select("id", "ranking_position", "ranking_score", by_score.cast("bigint").alias("score_order"))
 
 
 def ranking_status(postings: DataFrame) -> DataFrame:

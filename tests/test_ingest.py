@@ -88,6 +88,9 @@ def test_other_source_joins_the_posting(spark):
     assert {(r["status"], r["error"]) for r in got.results.collect()} == {("updated", None), ("error", "Field 'url': Field required")}
     assert rows_of(got.tables["job_sources"], "source", "source_job_id") == [("indeed", "in1"), ("linkedin", "1")]
     row = got.tables["job_postings"].first()
+    again = ingest.ingest_items(frame(spark, [item(1, job_num_applicants=9)]), "linkedin", "r3", {**empty_tables(spark), **got.tables}, LATER)
+    kept = again.tables["job_postings"].first()
+    assert (kept["source"], kept["indeed_job_id"], kept["linkedin_job_id"], kept["num_applicants"]) == ("indeed", "in1", "1", 9)
     assert row["source"] == "indeed" and row["num_applicants"] is None and row["indeed_job_id"] == "in1"
     assert got.tables["job_descriptions"].count() == 1
 
