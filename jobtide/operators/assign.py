@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .skew import spread_join
 from .tables import get_or_create, insert_ignore
 
 KEY = ["job_posting_id", "job_type_id"]
@@ -40,8 +41,7 @@ def types_from_runs(postings: DataFrame, assignments: DataFrame, history: DataFr
         F.lower(F.coalesce("location_query", F.lit(""))).alias("_place"),
     )
     return (
-        seen.join(r, "scrape_run_id")
-        .join(type_by_query(queries), ["_query", "_place"], "left")
+        spread_join(seen.join(r, "scrape_run_id"), type_by_query(queries), ["_query", "_place"], "job_posting_id")
         .select("job_posting_id", F.coalesce("job_type_id", "_query_type").alias("job_type_id"))
         .where(F.col("job_type_id").isNotNull())
     )

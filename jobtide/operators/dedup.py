@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import AsOf, instant
 from .ordering import best_row
+from .skew import spread_join
 from .tables import insert_ignore, update_from
 
 # Weights in the choice of the surviving company.
@@ -53,12 +54,9 @@ def company_survivors(companies: DataFrame, postings: DataFrame) -> DataFrame:
     """(id, keep_id) for every company that has to give way to another of the same name."""
     scored = company_merge_scores(companies.where(F.col("name").isNotNull()), postings)
     keep = best_row(scored.select("name", "id", "merge_score"), ["name"], [-F.col("merge_score"), F.col("id")])
-    return (
-        companies.select("id", "name")
-        .join(keep.select("name", F.col("id").alias("keep_id")), "name")
-        .where(F.col("id") != F.col("keep_id"))
-        .select("id", "keep_id")
-    )
+    best = keep.select("name", F.col("id").alias("keep_id"))
+    copies = spread_join(companies.select("id", "name"), best, ["name"], "id", "inner")
+    return copies.where(F.col("id") != F.col("keep_id")).select("id", "keep_id")
 
 
 def merge_companies(companies: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,10 +79,8 @@ def posting_survivors(postings: DataFrame) -> DataFrame:
         .agg(F.min_by("id", F.struct("created_at", "id")).alias("keep_id"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
-    return (
-        postings.select("id", "dedup_key").join(keep, "dedup_key").where(F.col("id") != F.col("keep_id"))
-        .select("id", "keep_id")
-    )
+    copies = spread_join(postings.select("id", "dedup_key"), keep.drop("_n"), ["dedup_key"], "id", "inner")
+    return copies.where(F.col("id") != F.col("keep_id")).select("id", "keep_id")
 
 
 def resolve_duplicate_postings(

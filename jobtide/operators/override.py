@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import location, text
+from .skew import spread_join
 from .tables import update_from
 
 
@@ -50,7 +51,7 @@ def backfill_override(
     seats = master.where(~text.is_placeholder(F.col("locatie_belgie"))).groupBy("company_id").agg(
         F.min("locatie_belgie").alias("_seat")
     )
-    wanted = affected.join(seats, "company_id", "left").withColumn(
+    wanted = spread_join(affected, seats, ["company_id"], "id").withColumn(
         "full_location_string", text.strip(F.concat("_seat", F.lit(", Belgium")))
     )
     id_type = locations.schema["id"].dataType
@@ -65,7 +66,8 @@ def backfill_override(
     fresh = mapping.where(F.col("_id").isNull()).select(
         F.col("_key").alias("id"), *[v.alias(k) for k, v in columns.items()], F.lit(False).alias("ai_enriched")
     )
-    moves = wanted.join(mapping, "full_location_string").select("id", F.col("_key").alias("to"))
+    keys = mapping.select("full_location_string", F.col("_key").alias("to"))
+    moves = spread_join(wanted, keys, ["full_location_string"], "id", "inner").select("id", "to")
     summary = wanted.agg(
         F.count("*").alias("processed"),
         F.count("_seat").alias("updated"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
+from .skew import spread_join
 from .tables import get_or_create, insert_ignore
 
 # Requirement levels in the order in which they are assigned.
@@ -44,7 +45,7 @@ def process(enrichment: DataFrame, must: str, nice: str, dim: DataFrame, assigne
     grown, mapping = get_or_create(
         active, found, "name", "id", {"display_name": F.col("name"), "is_active": F.lit(True)}
     )
-    new = found.join(mapping, "name").select("job_posting_id", F.col("id").alias(item_id), "requirement_level")
+    new = spread_join(found, mapping, ["name"], "job_posting_id", "inner").select("job_posting_id", F.col("id").alias(item_id), "requirement_level")
     return grown.unionByName(dim.where("NOT is_active"), allowMissingColumns=True), insert_ignore(
         assigned, new, ["job_posting_id", item_id]
     )

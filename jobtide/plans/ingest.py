@@ -19,6 +19,7 @@ from ..session import cut_lineage, store_wide
 from ..sources import snapshots
 from ..operators.ordering import best_row
 from ..operators.override import vague_strings
+from ..operators.skew import spread_join
 from ..operators.lifecycle import RANKING_FIELDS
 from ..operators.tables import append_history, insert_ignore, update_from, update_where
 
@@ -68,7 +69,8 @@ def resolve_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
         [~F.col("_logo"), ~F.col("_known"), F.col("id")],
     ).select("name", F.col("id").alias("_by_name"), "_logo", "_known")
     keyed = rows.withColumns({"linkedin_company_id": F.col("company.linkedin_company_id"), "name": F.col("company.name")})
-    keyed = keyed.join(by_id, "linkedin_company_id", "left").withColumn(
+    named = keyed
+    keyed = spread_join(keyed, by_id, ["linkedin_company_id"], "arrival").withColumn(
         "_own_id",
         F.when(
             F.coalesce(F.col("linkedin_company_id"), F.lit("")) != "",
@@ -87,7 +89,7 @@ def resolve_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
     ).otherwise(F.col("_by_id"))
     new_by_name = F.sha2(F.concat(F.lit("name:"), "name"), 256)
     return (
-        keyed.join(by_name.join(created, "name", "full_outer"), "name", "left")
+        spread_join(keyed, by_name.join(created, "name", "full_outer"), ["name"], "arrival", keys_from=named)
         .withColumns(
             {
                 "company_id": F.coalesce(stored, F.col("_own_id"), earlier, new_by_name),
@@ -109,44 +111,50 @@ def with_new_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
     return companies.unionByName(fresh, allowMissingColumns=True)
 
 
-def resolve_locations(rows: DataFrame, locations: DataFrame, master: DataFrame | None, vague: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``location_id`` and ``location_id_override``, locations with new ones added)."""
-    parts = location.location_columns(F.col("location_string"))
-    keyed = rows.withColumn("full_location_string", parts["full_location_string"])
-    if master is not None:
-        unclear = vague_strings(keyed, "full_location_string", vague).withColumn("_vague", F.lit(True))
-        seats = master.where(~text.is_placeholder(F.col("locatie_belgie"))).groupBy("company_id").agg(
-            F.min("locatie_belgie").alias("_seat")
-        )
-        keyed = (
-            keyed.join(unclear, "full_location_string", "left")
-            .join(seats, "company_id", "left")
-            .withColumn("_seat_string", text.strip(F.when(F.col("_vague"), F.concat("_seat", F.lit(", Belgium")))))
-        )
+def place_rows(rows: DataFrame, companies: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows with company name, ``location_id`` and ``location_id_override``.
+
+    What is known per place string and per company is put together first, so the rows take part in two joins.
+    """
+    keyed = rows.withColumn("full_location_string", text.strip(F.col("location_string")))
+    stored = tables["locations"].groupBy("full_location_string").agg(F.min("id").alias("_id"))
+    strings = keyed.select("full_location_string").distinct()
+    places = strings.join(stored, "full_location_string", "left").select(
+        "full_location_string", F.coalesce("_id", F.sha2("full_location_string", 256)).alias("location_id")
+    )
+    firms = companies.groupBy(F.col("id").alias("company_id")).agg(F.min("name").alias("company_name"))
+    master = tables.get("company_master_data")
+    if master is None:
+        places = places.withColumn("_vague", F.lit(False))
+        firms = firms.withColumns({"_seat": F.lit(None).cast("string"), "_seat_id": F.lit(None).cast("string")})
     else:
-        keyed = keyed.withColumn("_seat_string", F.lit(None).cast("string"))
-    strings = (
-        keyed.select("full_location_string")
-        .unionByName(keyed.select(F.col("_seat_string").alias("full_location_string")))
-        .where(F.col("full_location_string").isNotNull())
-        .distinct()
-    )
-    stored = locations.groupBy("full_location_string").agg(F.min("id").alias("_id"))
-    mapping = strings.join(stored, "full_location_string", "left").withColumn(
-        "_key", F.coalesce("_id", F.sha2("full_location_string", 256))
+        vague = vague_strings(strings, "full_location_string", tables.get("vague_locations_config"))
+        places = places.join(vague.withColumn("_vague", F.lit(True)), "full_location_string", "left")
+        seats = (
+            master.where(~text.is_placeholder(F.col("locatie_belgie"))).groupBy("company_id")
+            .agg(text.strip(F.concat(F.min("locatie_belgie"), F.lit(", Belgium"))).alias("_seat"))
+            .join(stored.withColumnRenamed("full_location_string", "_seat"), "_seat", "left")
+            .select("company_id", "_seat", F.coalesce("_id", F.sha2("_seat", 256)).alias("_seat_id"))
+        )
+        firms = firms.join(seats, "company_id", "left")
+    placed = spread_join(keyed, places, ["full_location_string"], "arrival")
+    placed = spread_join(placed, firms, ["company_id"], "arrival", keys_from=rows)
+    return placed.withColumn("location_id_override", F.when(F.col("_vague"), F.col("_seat_id"))).drop("_vague", "_seat_id")
+
+
+def with_new_locations(rows: DataFrame, locations: DataFrame) -> DataFrame:
+    """Stored locations plus those that :func:`place_rows` named and that are not stored."""
+    own = rows.select("full_location_string", F.col("location_id").alias("id"))
+    seats = rows.where(F.col("location_id_override").isNotNull()).select(
+        F.col("_seat").alias("full_location_string"), F.col("location_id_override").alias("id")
     )
     columns = location.location_columns(F.col("full_location_string"))
-    fresh = mapping.where(F.col("_id").isNull()).select(
-        F.col("_key").alias("id"), *[v.alias(k) for k, v in columns.items()], F.lit(False).alias("ai_enriched")
-    )
-    keys = mapping.select("full_location_string", F.col("_key").alias("location_id"))
-    seat_keys = mapping.select(
-        F.col("full_location_string").alias("_seat_string"), F.col("_key").alias("location_id_override")
-    )
-    placed = keyed.join(keys, "full_location_string", "left").join(seat_keys, "_seat_string", "left")
-    return placed.select(*rows.columns, "location_id", "location_id_override"), locations.unionByName(
-        fresh, allowMissingColumns=True
+    fresh = (
+        own.unionByName(seats).distinct()
+        .join(locations.select("full_location_string"), "full_location_string", "left_anti")
+        .select("id", *[v.alias(k) for k, v in columns.items()], F.lit(False).alias("ai_enriched"))
     )
+    return locations.unionByName(fresh, allowMissingColumns=True)
 
 
 def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -168,16 +176,13 @@ def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
         .groupBy("dedup_key")
         .agg(F.max("_last").alias("_break"))
     )
-    tail = rows.join(breaks, "dedup_key", "left").where(
+    tail = spread_join(rows, breaks, ["dedup_key"], "arrival").where(
         F.col("_break").isNull() | (F.col("arrival") > F.col("_break"))
     )
-    # Grouped by the posting id instead of the key it is made from: the join above then does not fix the
-    # partitioning of the aggregate, so adaptive execution may split a key that holds much of the batch.
-    first = tail.groupBy(F.sha2("dedup_key", 256).alias("_id")).agg(
+    first = tail.groupBy("dedup_key").agg(
         F.min_by(F.struct("posting", "company_id", "location_id", "location_id_override"), "arrival").alias("_data"),
         F.max("_break").alias("_break"),
-        F.first("dedup_key").alias("dedup_key"),
-    ).drop("_id")
+    )
     unchanged = (
         F.coalesce(F.col("_known_source"), F.lit(False))
         & F.col("_break").isNull()
@@ -207,15 +212,13 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     frozen = store_wide(rows)
     rows = cut_lineage(resolve_companies(frozen.drop("description", "poster"), tables["companies"]))
     companies = with_new_companies(rows, tables["companies"])
-    rows, locations = resolve_locations(
-        rows, tables["locations"], tables.get("company_master_data"), tables.get("vague_locations_config")
-    )
-    names = companies.groupBy(F.col("id").alias("company_id")).agg(F.min("name").alias("_company_name"))
     title = F.col("posting.title")
-    rows = rows.join(names, "company_id", "left").withColumns(
-        {"dedup_key": text.dedup_key(title, F.col("_company_name")), "title_normalized": text.ingest_title(title)}
-    ).drop("_company_name")
-    rows = cut_lineage(rows)
+    rows = cut_lineage(
+        place_rows(rows, companies, tables).withColumns(
+            {"dedup_key": text.dedup_key(title, F.col("company_name")), "title_normalized": text.ingest_title(title)}
+        )
+    )
+    locations = with_new_locations(rows, tables["locations"])
 
     postings, sources = tables["job_postings"], tables["job_sources"]
     keys = rows.select("dedup_key").distinct()
@@ -301,8 +304,7 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     stubs = opening.select("job_posting_id").withColumn("created_at", now)
 
     results = (
-        rows.select("arrival", "dedup_key")
-        .join(job_ids.drop("_source_job_id"), "dedup_key")
+        spread_join(rows.select("arrival", "dedup_key"), job_ids.drop("_source_job_id"), ["dedup_key"], "arrival", "inner")
         .select(
             "arrival",
             F.when(F.col("_new") & (F.col("arrival") == F.col("_first")), "new").otherwise("updated").alias("status"),

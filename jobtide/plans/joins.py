@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..operators.dedup import best_company_by_name
+from ..operators.skew import spread_join
 from .views import Tables
 
 
@@ -109,24 +110,25 @@ def latest_ranking(postings: DataFrame) -> DataFrame:
 
 
 def match_postings(records: DataFrame, postings: DataFrame) -> DataFrame:
-    """Records (title, company_name) with the oldest posting of the same dedup key."""
+    """Records (arrival, title, company_name) with the oldest posting of the same dedup key."""
     stored = postings.where(F.col("dedup_key").isNotNull()).groupBy("dedup_key").agg(
         F.min_by("id", F.struct("created_at", "id")).alias("existing_id")
     )
-    return records.withColumn("dedup_key", text.dedup_key(F.col("title"), F.col("company_name"))).join(stored, "dedup_key", "left")
+    keyed = records.withColumn("dedup_key", text.dedup_key(F.col("title"), F.col("company_name")))
+    return spread_join(keyed, stored, ["dedup_key"], "arrival")
 
 
 def match_companies(records: DataFrame, companies: DataFrame) -> DataFrame:
-    """Records (linkedin_company_id, company_name) with their company: by vendor id, or by name only
+    """Records (arrival, linkedin_company_id, company_name) with their company: by vendor id, or by name only
     when they have none."""
     by_id = companies.where(F.col("linkedin_company_id").isNotNull()).groupBy("linkedin_company_id").agg(F.min("id").alias("_by_id"))
     by_name = best_company_by_name(companies.select("id", "name", "has_logo", "linkedin_company_id")).select(
         F.col("name").alias("company_name"), F.col("id").alias("_by_name")
     )
     return (
-        records.join(by_id, "linkedin_company_id", "left")
-        .join(by_name, "company_name", "left")
-        .withColumn(
+        spread_join(
+            spread_join(records, by_id, ["linkedin_company_id"], "arrival"), by_name, ["company_name"], "arrival"
+        ).withColumn(
             "company_id",
             F.when(F.col("linkedin_company_id").isNotNull(), F.col("_by_id")).otherwise(F.col("_by_name")),
         )

@@ -1,5 +1,8 @@
-"""The denormalised views. Each keeps a join on unique keys, so no row is multiplied; join strategy is
-left to the optimizer, which broadcasts a side only when its size statistics allow it."""
+"""The denormalised views. Each joins on unique keys, so no row is multiplied. The join strategy is left
+to the optimizer, which broadcasts a side only when its size statistics allow it. Beyond that size a company
+or place may hold a large part of the postings: joins on the company and on the place take turns, because
+adaptive execution splits a hot key only where the next step shuffles by something else. A company row
+always exists for a posting's company (a foreign key), so its master data can be joined by that id."""
 
 from __future__ import annotations
 
@@ -43,19 +46,6 @@ def _from(alias: str, frame: DataFrame, names) -> list[Column]:
     ]
 
 
-def company_side(t: Tables) -> DataFrame:
-    """Companies with their master data as struct columns ``c`` and ``cmd``, one row per company.
-
-    Joined with each other before they meet the postings: two joins in a row on the posting's company
-    would keep one partitioning, and adaptive execution splits a hot company only when the next step
-    shuffles anyway.
-    """
-    c, m = t["companies"], t["company_master_data"]
-    return c.select(F.col("id").alias("company_key"), F.struct(*c.columns).alias("c")).join(
-        m.select(F.col("company_id").alias("company_key"), F.struct(*m.columns).alias("cmd")), "company_key", "left"
-    )
-
-
 def ranking_view(t: Tables) -> DataFrame:
     """Active postings with everything scoring needs; the original location, not the override.
     Descriptions are reduced to their length at the scan, so no text is shuffled."""
@@ -64,8 +54,9 @@ def ranking_view(t: Tables) -> DataFrame:
     )
     return (
         t["job_postings"].where("is_active").alias("jp")
-        .join(company_side(t), F.col("jp.company_id") == F.col("company_key"), "left")
+        .join(t["companies"].alias("c"), F.col("jp.company_id") == F.col("c.id"), "left")
         .join(t["locations"].alias("l"), F.col("jp.location_id") == F.col("l.id"), "left")
+        .join(t["company_master_data"].alias("cmd"), F.col("jp.company_id") == F.col("cmd.company_id"), "left")
         .join(t["llm_enrichment"].alias("e"), F.col("jp.id") == F.col("e.job_posting_id"), "left")
         .join(descriptions.alias("jd"), F.col("jp.id") == F.col("jd.job_posting_id"), "left")
         .select(
@@ -115,8 +106,9 @@ def job_listings(t: Tables) -> DataFrame:
     return (
         t["llm_enrichment"].alias("e")
         .join(j.alias("j"), F.col("e.job_posting_id") == F.col("j.id"))
-        .join(company_side(t), F.col("j.company_id") == F.col("company_key"))
+        .join(t["companies"].alias("c"), F.col("j.company_id") == F.col("c.id"))
         .join(t["locations"].alias("l"), F.col("l.id") == shown_location(), "left")
+        .join(t["company_master_data"].alias("cmd"), F.col("j.company_id") == F.col("cmd.company_id"), "left")
         .select(
             F.col("e.job_posting_id"),
             *[
@@ -158,8 +150,9 @@ def _enrichment_star(t: Tables) -> DataFrame:
     return (
         t["llm_enrichment"].alias("e")
         .join(t["job_postings"].alias("j"), F.col("e.job_posting_id") == F.col("j.id"), "left")
-        .join(company_side(t), F.col("j.company_id") == F.col("company_key"), "left")
+        .join(t["companies"].alias("c"), F.col("j.company_id") == F.col("c.id"), "left")
         .join(t["locations"].alias("l"), F.col("j.location_id") == F.col("l.id"), "left")
+        .join(t["company_master_data"].alias("cmd"), F.col("j.company_id") == F.col("cmd.company_id"), "left")
     )
 
 

@@ -60,3 +60,15 @@ def test_best_row_and_page(spark):
     best = {r["k"]: r["id"] for r in ordering.best_row(df, ["k"], [-F.col("v"), F.col("id")]).collect()}
     assert best == {"a": 2, "b": 3}
     assert [r["id"] for r in ordering.page(df, [F.col("id").desc()], 1, 1).collect()] == [2]
+
+
+def test_spread_join_equals_plain_join(spark):
+    from jobtide.operators.skew import spread_join
+
+    rows = sample()
+    left = spark.createDataFrame(rows, "id string, g string, s double").repartition(6)
+    right = left.where("g IS NOT NULL AND g <> 'a'").groupBy("g").agg(F.max("id").alias("top"))
+    for how in ("left", "inner"):
+        got = spread_join(left, right, ["g"], "id", how).select("id", "g", "top").collect()
+        plain = left.join(right, "g", how).select("id", "g", "top").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, plain))
