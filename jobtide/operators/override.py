@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import location, text
+from ..session import cut_lineage
 from .skew import spread_join
 from .tables import update_from
 
@@ -54,6 +55,7 @@ def backfill_override(
     wanted = spread_join(affected, seats, ["company_id"], "id").withColumn(
         "full_location_string", text.strip(F.concat("_seat", F.lit(", Belgium")))
     )
+    wanted = cut_lineage(wanted)
     id_type = locations.schema["id"].dataType
     hashed = F.xxhash64("full_location_string") if id_type.simpleString() == "bigint" else F.sha2("full_location_string", 256)
     stored = locations.groupBy("full_location_string").agg(F.min("id").alias("_id"))

@@ -127,7 +127,8 @@ def match_companies(records: DataFrame, companies: DataFrame) -> DataFrame:
     )
     return (
         spread_join(
-            spread_join(records, by_id, ["linkedin_company_id"], "arrival"), by_name, ["company_name"], "arrival"
+            spread_join(records, by_id, ["linkedin_company_id"], "arrival"), by_name, ["company_name"], "arrival",
+            keys_from=records,
         ).withColumn(
             "company_id",
             F.when(F.col("linkedin_company_id").isNotNull(), F.col("_by_id")).otherwise(F.col("_by_name")),
