@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import changes, dates, jsonx, location, salary, scores, text
-from ..functions.dates import instant
 from ..operators import runs, sinks
 from ..operators.ranking import score_postings
 from ..plans.views import ranking_view

@@ -15,7 +15,7 @@ from ..session import checkpoint_root
 from ..streaming import sightings
 from .base import JOBS_AS_OF, RUNS_AS_OF
 from .q_functions import HOURLY, SCORED
-from .registry import JOBS_NOW, RUNS_NOW, query, sql_key, sql_strip, ts
+from .registry import JOBS_NOW, query, sql_key, sql_strip, ts
 
 RANKED = f"""{SCORED},
 s2 AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY base_score DESC, id) AS company_rank, row_number() OVER (PARTITION BY role ORDER BY base_score DESC, id) AS role_type_rank,

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, text
 from ..functions.changes import differs
 from ..functions.dates import before, posted_within
-from ..operators import assign, lifecycle, override, runs, tables
+from ..operators import assign, lifecycle, override, runs
 from ..operators.ordering import page
-from ..plans import joins, listings, stats, views
+from ..plans import joins, listings, views
 from ..plans.search import Search, count_jobs, matching, search_page, suggestions
 from .base import JOBS_AS_OF, RUNS_AS_OF
-from .registry import JOBS_NOW, RUNS_NOW, arr, query, sql_key, ts
+from .registry import JOBS_NOW, RUNS_NOW, query, sql_key, ts
 
 FULL = Search(
     search_query="data", seniority=("Mid-Senior level", "Entry level", "Director"), employment=("Full-time", "Contract"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import before, instant
+from ..functions.dates import instant
 from ..operators import lifecycle, runs, sinks, tables
 from ..operators.dedup import backfill_sources
 from ..sources import company_csv, snapshots
-from .base import JOBS_AS_OF, RUNS_AS_OF
-from .registry import JOBS_NOW, RUNS_NOW, arr, query, sql_strip, ts
+from .base import JOBS_AS_OF
+from .registry import JOBS_NOW, arr, query, sql_strip, ts
 
 
 def linkedin_records(t):

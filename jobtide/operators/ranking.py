@@ -16,7 +16,6 @@ RANK_KEYS = (
     ("seniority_rank", "seniority"),
 )
 COMPONENTS = tuple(name for name, _ in scores.WEIGHTS)
-BASE_ORDER = ("base_score",)
 
 
 def score_postings(view: DataFrame, as_of: AsOf) -> DataFrame:
