@@ -42,7 +42,7 @@ def test_same_rows(spark, con, name):
 
 def test_contract(spark):
     queries, sql = entry_module.queries(), entry_module.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) == len(QUERIES)
+    assert set(sql) <= set(queries) and set(QUERIES) <= set(queries)
     assert entry_module.entry(spark).limit(1).count() == 1
 
 
