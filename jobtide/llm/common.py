@@ -46,7 +46,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round is a stored table, so nothing is gathered and a lost executor costs one round at most. Null nodes and
     loops are ignored; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
     now = stored(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
@@ -65,9 +64,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    return spark.createDataFrame([], "node long, component long").union(
-        now.select("u", "v").union(now.select("v", "v")).distinct()
-    )
+    return now.select("u", "v").union(now.select("v", "v")).distinct().toDF("node", "component")
 
 
 __all__ = ["WORD", "SPACES", "texts", "ascii_lower", "stored", "drop_rows", "components", "cut_lineage"]
