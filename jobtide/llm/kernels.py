@@ -24,6 +24,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+# Separators for words without their punctuation: every ASCII byte that is neither a letter nor a digit.
+PUNCTUATED = np.ones(256, bool)
+PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -84,9 +87,9 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = to
 
 
-def words(data: np.ndarray, begin: np.ndarray) -> Words:
+def words(data: np.ndarray, begin: np.ndarray, separators: np.ndarray = _SPACE) -> Words:
     low = _LOWER[data]
-    blank = _SPACE[low]
+    blank = separators[low]
     n = len(low)
     before, after = np.ones(n + 1, bool), np.ones(n + 1, bool)
     before[1:] = blank

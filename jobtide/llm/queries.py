@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, secrets, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, secrets, substring_dedup, token_output, toxicity
 from .kernels import Banding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents")))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_output")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_output.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_output.read_tokens(blocks)
