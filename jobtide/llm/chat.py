@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import stored
+
 # Fixed strings of the template. A turn is OPEN role newline text CLOSE newline.
 OPEN, CLOSE, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 # Control strings of this and of other common templates: none may appear in an escaped text.
@@ -30,18 +32,19 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit(LINE), F.lit("\n")))
 
 
-def _running(df: DataFrame, value: str, out: str, order: list[str]) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the conversation. Sums run inside buckets of turn numbers and
+def _running(df: DataFrame, sums: dict[str, str], order: list[str]) -> DataFrame:
+    """For each value: out, its sum over the earlier rows of the conversation. Sums run inside buckets of turn numbers and
     over the buckets' totals, so a huge conversation is spread over as many tasks as it has buckets."""
     inside = W.partitionBy("conv", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy("conv").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        df.groupBy("conv", "bucket").agg(F.sum(value).alias("_t"))
-        .withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
+    zero = F.lit(0).cast("long")
+    own = df.select("*", *[F.coalesce(F.sum(value).over(inside), zero).alias(f"_in_{out}") for value, out in sums.items()])
+    totals = df.groupBy("conv", "bucket").agg(*[F.sum(value).alias(f"_t_{out}") for value, out in sums.items()])
+    totals = totals.select(
+        F.col("conv").alias("_c"), F.col("bucket").alias("_b"), *[F.coalesce(F.sum(f"_t_{out}").over(earlier), zero).alias(f"_before_{out}") for out in sums.values()]
     )
-    own = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = own["conv"].eqNullSafe(totals["conv"]) & (own["bucket"] == totals["bucket"])
-    return own.join(totals, same).select(*[own[c] for c in df.columns], (own[out] + totals["_before"]).alias(out))
+    same = own["conv"].eqNullSafe(totals["_c"]) & (own["bucket"] == totals["_b"])
+    return own.join(totals, same).select(*df.columns, *[(F.col(f"_in_{out}") + F.col(f"_before_{out}")).alias(out) for out in sums.values()])
 
 
 def chat_windows(
@@ -71,19 +74,19 @@ def chat_windows(
     sized = turns.withColumns({
         "size": (F.regexp_count("text", F.lit(r"\S+")) + 4).cast("long"),
         "bucket": F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(2**62))),
+        "one": F.lit(1).cast("long"),
     }).withColumn("big", (F.col("size") > half).cast("long"))
-    placed = _running(_running(sized, "size", "start", order), "big", "bigs", order)
-    one = placed.withColumn("nth", F.lit(1))
-    placed = _running(one, "nth", "at", order).drop("nth")
+    placed = _running(stored(sized), {"size": "start", "big": "bigs", "one": "at"}, order)
     span = F.struct(
         (2 * F.col("bigs") + F.col("big")).alias("a"),
         F.when(F.col("big") == 1, 0).otherwise(F.floor((F.col("start") + F.col("size") - 1) / half)).alias("b"),
     )
-    placed = placed.withColumn("span", span).drop("bucket", "big", "bigs")
-    spans = (
+    placed = stored(placed.withColumn("span", span).drop("bucket", "big", "bigs", "one"))
+    by_span = W.partitionBy("conv").orderBy("span")
+    spans = stored(
         placed.groupBy("conv", "span").agg(F.max(F.col("start") + F.col("size")).alias("stop"))
-        .withColumn("window", F.row_number().over(W.partitionBy("conv").orderBy("span")) - 1)
-        .withColumn("last", F.lead("window").over(W.partitionBy("conv").orderBy("span")).isNull())
+        .withColumn("window", F.row_number().over(by_span) - 1)
+        .withColumn("last", F.lead("window").over(by_span).isNull())
         .select(F.col("conv").alias("c"), F.col("span").alias("s"), "stop", "window", "last")
     )
     located = placed.join(spans, placed["conv"].eqNullSafe(spans["c"]) & (placed["span"] == spans["s"])).drop("c", "s", "span")
@@ -93,7 +96,7 @@ def chat_windows(
         F.struct("window", F.lit(2).alias("part")), F.when(repeated, F.struct((F.col("window") + 1).alias("window"), F.lit(1).alias("part"))),
     ))
     own = located.select("conv", "at", "role", "text", F.explode(uses).alias("u")).select("conv", "u.window", "u.part", "at", "role", "text")
-    first = located.where(is_system).select(F.col("conv").alias("c"), "role", "text")
+    first = placed.where(is_system).select(F.col("conv").alias("c"), "role", "text")
     system = (
         spans.where("window > 0").select(F.col("c").alias("conv"), "window").join(first, F.col("conv").eqNullSafe(F.col("c")))
         .select("conv", "window", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), "role", "text")
