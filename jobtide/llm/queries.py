@@ -112,7 +112,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "toxic", "p_toxic", "p_low_quality")
 
 
 @query("op7_lm_score")
