@@ -74,7 +74,7 @@ def jaccard_components(
     features = stored(shingle_features(given, k, banding))
     some = features.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.first("bands").alias("bands")))
-    members = stored(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n"))
+    members = stored(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return shingle_sets(given.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k)

@@ -59,6 +59,16 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
 
+    def content(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 128-bit hash, in two halves, of each run of words ``starts`` to ``stops``, by their hashes."""
+        up, down = _powers(len(hashes) + 1)
+        out = []
+        for own in (hashes, mix(hashes ^ np.uint64(0x5851F42D4C957F2D))):
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * up[: len(own)], out=total[1:])
+            out.append(mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)).view(np.int64))
+        return out[0], out[1]
+
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word, the same in every task."""
         if not len(self.starts):
@@ -139,5 +149,21 @@ class Banding:
             a, b = part.astype(np.uint32)[:, None], (part >> np.uint64(32)).astype(np.uint32)[:, None]
             own = (a * self._factor + (b ^ self._mask)).min(axis=0)
             low = own if low is None else np.minimum(low, own)
-        joined = (mix(low.astype(np.uint64) + np.uint64(1)).reshape(self.bands, self.rows) * self._weight).sum(axis=1, dtype=np.uint64)
-        return mix(joined ^ self._tag).view(np.int64)
+        return self._join(low)
+
+    def keys_of_runs(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """(runs, bands): the band keys of each run ``hashes[start:stop]``; the runs are not empty."""
+        a, b = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+        edges = np.stack([starts, np.minimum(stops, len(hashes) - 1)], axis=1).ravel()
+        low = np.empty((len(starts), len(self._factor)), np.uint32)
+        for j, (factor, mask) in enumerate(zip(self._factor, self._mask)):
+            value = a * factor + (b ^ mask)
+            low[:, j] = np.minimum.reduceat(value, edges)[::2]
+            at_end = stops == len(hashes)  # reduceat cannot be told to stop behind the last place
+            low[at_end, j] = np.minimum(low[at_end, j], value[-1])
+        return self._join(low)
+
+    def _join(self, low: np.ndarray) -> np.ndarray:
+        """Band keys from minima; the last axis of ``low`` has all of a set."""
+        parts = mix(low.astype(np.uint64) + np.uint64(1)).reshape(*low.shape[:-1], self.bands, self.rows)
+        return mix((parts * self._weight).sum(axis=-1, dtype=np.uint64) ^ self._tag).view(np.int64)

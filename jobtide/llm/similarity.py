@@ -6,6 +6,10 @@ left are candidates in different components. For them each group's union of toke
 a query's tokens with that union bounds its overlap with every member, and only groups whose bound reaches
 the needed overlap are opened and compared member by member. One link is enough to join two components, so
 no pair inside a component is made and a cluster of n near copies costs n comparisons, not n * n.
+
+Tokens that no other candidate has bound the overlap too: with u of them, n tokens can share n - u at most. That drops
+candidates without any partner, ranks the leaders (the original of a cluster of edited copies has the least u), and
+forbids pairs whose tokens of their own are more than the symmetric difference that the similarity allows.
 """
 
 from __future__ import annotations
@@ -30,20 +34,27 @@ def link_components(
 ) -> DataFrame:
     """Components (node, component) of the links between ids that share a bucket and have Jaccard >= num / den.
 
-    ``members`` is a stored table (key, id, n), n the size of the id's set; ``sets_of`` gives (id, tokens), the distinct
-    tokens, for a frame of ids. Ids without a link are not returned. The result holds every link between two ids
-    that share a bucket; there is no cap on buckets, partners or rounds of the search.
+    ``members`` is a stored table (key, id); ``sets_of`` gives (id, tokens), the distinct tokens, for a frame of ids. Ids
+    without a link are not returned. The result holds every link between two ids that share a bucket; there is no
+    cap on buckets, partners or the search.
     """
     shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     rows = stored(members.join(stored(shared), "key"))
     sets = stored(sets_of(rows.select("id").distinct()))
+    alone = (
+        sets.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+        .where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    )
+    sized = sets.select("id", F.size("tokens").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    able = stored(sized.where((F.col("n") - F.col("u")) * den >= F.col("n") * num))
+    rows = stored(rows.join(able, "id"))
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     links, labels = None, None
     for turn in range(rounds + 1):
         if labels is None:
             known = rows.withColumn("comp", F.col("id"))
         else:
-            known = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+            known = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "n", "u", F.coalesce("component", "id").alias("comp"))
         split = stored(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
         known = stored(known.join(split, "key"))
         if known.isEmpty():
@@ -56,29 +67,38 @@ def link_components(
         fresh = stored(fresh)
         links = fresh if links is None else links.union(fresh)
         labels = stored(components(links))
-    return rows.sparkSession.createDataFrame([], rows.select("id", F.col("id").alias("c")).schema).toDF("node", "component") if labels is None else labels
+    if labels is None:
+        return members.sparkSession.createDataFrame([], members.select(F.col("id").alias("node"), F.col("id").alias("component")).schema)
+    return labels
+
+
+def _apart(n, u, other_n, other_u, num: int, den: int):
+    """Whether the tokens of their own alone keep two sets (or a set and the best of a group) below the similarity."""
+    return (u + other_u) * (den + num) > (n + other_n) * (den - num)
 
 
 def _leader_pairs(known: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """One candidate pair per id: with the leader of one of its buckets, of another component and a size that can
-    reach the similarity. Each round ranks the leaders differently: by id first, then by a hash."""
-    rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-    lead = known.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "comp")).alias("lead"))
+    reach the similarity. Each round ranks the leaders differently: by tokens of their own and id first, then by a hash."""
+    rank = F.struct("u", "id") if turn == 0 else F.struct(F.lit(0).cast("long").alias("u"), F.xxhash64(F.lit(turn), "id").alias("id"))
+    lead = known.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "u", "comp")).alias("lead"))
     fits = (F.least("n", "lead.n") * den >= F.greatest("n", "lead.n") * num) & (F.col("comp") != F.col("lead.comp"))
+    fits &= ~_apart(F.col("n"), F.col("u"), F.col("lead.n"), F.col("lead.u"), num, den)
     best = known.join(stored(lead), "key").where(fits).groupBy("id").agg(F.min(F.struct("lead.rank", "lead.id")).alias("lead"))
     return best.select(F.col("id").alias("b"), F.col("lead.id").alias("a"))
 
 
 def _matrix_links(known: DataFrame, sets: DataFrame, num: int, den: int, group: int) -> DataFrame:
-    ids = known.select("id", "n", "comp").distinct()
+    ids = known.select("id", "comp").distinct()
     sizes = ids.groupBy("comp").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / group)).cast("int")
-    placed = stored(known.join(stored(sizes), "comp").withColumn("part", part))
-    # The query is in the smaller component; sizes a group cannot match are left out before the matrix is used.
+    placed = stored(known.join(stored(sizes), "comp").withColumn("part", F.struct("u", part.alias("p"))))
+    # The query is in the smaller component; groups that sizes and tokens of their own rule out are not asked.
     columns = placed.groupBy("key", "comp", "part", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     columns = columns.select("key", F.col("comp").alias("gc"), F.col("part").alias("gp"), F.col("size").alias("gs"), "least", "most")
     smaller = F.struct("size", "comp") < F.struct(F.col("gs").alias("size"), F.col("gc").alias("comp"))
     fits = (F.col("n") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("n") * num)
+    fits &= ~_apart(F.col("n"), F.col("u"), F.col("most"), F.col("gp.u"), num, den)
     asked = stored(placed.join(stored(columns), "key").where(smaller & fits).select("id", "gc", "gp").distinct())
     queried = asked.select("gc", "gp").distinct()
     inside = placed.select("id", F.col("comp").alias("gc"), F.col("part").alias("gp")).distinct().join(queried, ["gc", "gp"])

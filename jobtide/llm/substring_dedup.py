@@ -9,74 +9,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, texts
-from .kernels import Banding, mix, shingles, slices, words
+from .jaccard_join import shingle_sets
+from .kernels import Banding, shingles, slices, words
 from .similarity import link_components
 
 K = 5
-_WEIGHT = np.random.default_rng(99).integers(1, 2**63, (2, 512), dtype=np.uint64) | np.uint64(1)
 
 
-def _content(hashes: np.ndarray) -> tuple[int, int]:
-    """A 128-bit hash of a sequence of words."""
-    out = []
-    for weight in _WEIGHT:
-        w = weight if len(hashes) <= 512 else np.resize(mix(np.arange(len(hashes), dtype=np.uint64) + weight[0]), len(hashes))
-        out.append(int(mix(np.array([(hashes * w[: len(hashes)]).sum(dtype=np.uint64) + np.uint64(len(hashes))])).view(np.int64)[0]))
-    return out[0], out[1]
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each run of ``width`` neighbours, by doubling."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = pick(out[:-step], out[step:]) if len(out) > step else out[:0]
+        done += step
+    return out
 
 
-def anchors(hashes: np.ndarray, window: int, length: int) -> np.ndarray:
-    """First words of the content-defined paragraphs of a text: where a run of five words has the smallest hash of
+def anchors(grams: np.ndarray, first: np.ndarray, window: int, length: int) -> np.ndarray:
+    """First words of the content-defined paragraphs of some texts: where a run of five words has the smallest hash of
     ``window`` neighbouring runs and ``length`` words follow. Any run of window + length - 1 words that two texts share
-    has such a paragraph, the same in both, wherever it stands."""
-    if len(hashes) < window + K - 1:
+    has such a paragraph, the same in both, wherever it stands. Text i has the words first[i] to first[i + 1];
+    ``grams`` has the hash of the run at each word, over all texts."""
+    if len(grams) < window:
         return np.zeros(0, np.int64)
-    grams = shingles(hashes, K)
-    low = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1) + np.arange(len(grams) - window + 1)
-    chosen = np.unique(low)
-    return chosen[chosen + length <= len(hashes)]
+    low = _sliding(grams, window, np.minimum).copy()
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    stop = first[1:][text]
+    at = np.arange(len(low))
+    low[at + window + K - 1 > stop[: len(low)]] = 0  # windows that leave the text choose nothing
+    # The smallest of some window: equal to the largest minimum of the windows around it.
+    padded = np.concatenate([np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)])
+    best = _sliding(padded, window, np.maximum)
+    chosen = np.flatnonzero((grams == best) & (best > 0))
+    return chosen[chosen + length <= stop[chosen]]
 
 
 def paragraphs(docs: DataFrame, length: int, window: int, banding: Banding) -> DataFrame:
-    """(doc_id, start, stop, p1, p2, n, bands): the paragraphs of each text, in code points.
+    """(doc_id, start, stop, p1, p2, line, bands): the paragraphs of each text, in code points.
 
-    A paragraph is a line of ``length`` words or more, with band keys and the number n of its distinct shingles, or a
-    content-defined piece of ``length`` words (no bands), which also finds passages inside longer lines. Equal ones of a
-    text are given once, at their first place.
+    A paragraph is a line of ``length`` words or more, with band keys, or a content-defined piece of ``length`` words
+    (no bands), which also finds passages inside longer lines. Equal ones of a text are given once, at their first place.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for row, to, data, begin in slices(batch.column("text")):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for row, _, data, begin in slices(batch.column("text")):
                 found = words(data, begin)
-                hashes = found.hashes()
+                if len(found.starts) < length:
+                    continue
+                hashes, first = found.hashes(), found.first
+                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                # A run that crosses into the next text or line is never used.
+                size = len(hashes) - K + 1
+                grams = shingles(hashes, K) if size > 0 else np.zeros(0, np.uint64)
+                line_of = np.searchsorted(np.flatnonzero(data == 10), found.starts)
+                heads = np.flatnonzero((np.diff(line_of, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+                ends = np.append(heads[1:], len(hashes))
+                long = ends - heads >= length
+                heads, ends = heads[long], ends[long]
+                pieces = anchors(grams, first, window, length)
+                starts, stops = np.concatenate([heads, pieces]), np.concatenate([ends, pieces + length])
+                if not len(starts):
+                    continue
+                line = np.arange(len(starts)) < len(heads)
+                p1, p2 = found.content(hashes, starts, stops)
+                bands = np.zeros((len(starts), banding.bands), np.int64)
+                if len(heads):
+                    bands[: len(heads)] = banding.keys_of_runs(grams, heads, ends - K + 1)
+                owner = text[starts]
+                order = np.lexsort((starts, p2, p1, line, owner))
+                same = np.ones(len(order), bool)
+                same[1:] = False
+                for key in (owner, line, p1, p2):
+                    same[1:] |= key[order][1:] != key[order][:-1]
+                own = np.sort(order[same])
                 point = np.zeros(len(data) + 1, np.int64)
                 np.cumsum((data & 0xC0) != 0x80, out=point[1:])
-                line_of = np.searchsorted(np.flatnonzero(data == 10), found.starts)
-                out: list[tuple] = []
-                for i in range(to - row):
-                    a, b = found.first[i], found.first[i + 1]
-                    own, base, seen = hashes[a:b], point[begin[i]], set()
-                    if b - a < length:
-                        continue
-                    heads = np.flatnonzero(np.diff(line_of[a:b], prepend=-1))
-                    spans = [(x, y, True) for x, y in zip(heads, [*heads[1:], b - a]) if y - x >= length]
-                    spans += [(x, x + length, False) for x in anchors(own, window, length)]
-                    for x, y, line in spans:
-                        p = _content(own[x:y])
-                        if (p, line) in seen:
-                            continue
-                        seen.add((p, line))
-                        grams = np.unique(shingles(own[x:y], K)) if line else None
-                        keys = banding.keys(grams) if line else None
-                        out.append((ids[row + i], int(point[found.starts[a + x]] - base), int(point[found.ends[a + y - 1]] - base), *p, len(grams) if line else 0, keys))
-                if out:
-                    columns = list(zip(*out))
-                    arrays = [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "stop", "p1", "p2", "n", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, stop long, p1 long, p2 long, n long, bands array<long>")
+                base = point[begin[owner[own]]]
+                numbers = np.where(line[own], banding.bands, 0)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(numbers)]), pa.int32()), pa.array(bands[own][line[own]].ravel()))
+                columns = [ids[row + owner[own]], point[found.starts[starts[own]]] - base, point[found.ends[stops[own] - 1]] - base, p1[own], p2[own], line[own]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], ["doc_id", "start", "stop", "p1", "p2", "line", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, stop long, p1 long, p2 long, line boolean, bands array<long>")
 
 
 def repeated_paragraphs(
@@ -98,37 +115,30 @@ def repeated_paragraphs(
     """
     given = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     found = stored(paragraphs(given, length, window, banding))
-    lines = found.where("n > 0")
     # One line of each class stands for it in the bands, under a 64-bit id.
-    classes = stored(lines.groupBy("p1", "p2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "stop")).alias("at")))
-    members = stored(classes.select(F.explode("bands").alias("key"), F.col("p1").alias("id"), "n"))
+    lines = found.where("line")
+    classes = stored(lines.groupBy("p1", "p2").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "stop")).alias("at")))
+    members = stored(classes.select(F.explode("bands").alias("key"), F.col("p1").alias("id")))
 
-    def sets_of(ids) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
         at = classes.join(ids, classes["p1"] == ids["id"], "left_semi").select("p1", "at.*")
-        return line_sets(given.join(at, "doc_id").select(F.col("p1").alias("id"), F.expr("substring(text, int(start) + 1, int(stop - start))").alias("text")))
+        own = F.expr("substring(text, int(start) + 1, int(stop - start))").alias("text")
+        return shingle_sets(given.join(at, "doc_id").select(F.col("p1").alias("doc_id"), own), K)
 
     near = link_components(members, sets_of, num, den)
-    cluster = F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("p1"))
-    second = F.when(F.col("component").isNotNull(), F.lit(0)).otherwise(F.col("p2"))
     # Only repeated classes go on: pieces and lines of one document have no partner.
-    kept = found.groupBy("p1", "p2", (F.col("n") > 0).alias("line")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    named = kept.join(near, kept["line"] & (kept["p1"] == near["node"]), "left").where("lo < hi OR component IS NOT NULL").select("p1", "p2", "line", "component")
-    occurrences = found.withColumn("line", F.col("n") > 0).join(stored(named), ["p1", "p2", "line"])
-    occurrences = stored(occurrences.select("doc_id", "start", "stop", "line", cluster.alias("c1"), second.alias("c2")))
-    first = occurrences.groupBy("c1", "c2", "line").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
-    return occurrences.join(stored(first), ["c1", "c2", "line"]).select(
+    kept = found.groupBy("p1", "p2", "line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    named = kept.join(near, kept["line"] & (kept["p1"] == near["node"]), "left").where("lo < hi OR component IS NOT NULL")
+    cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"), "line")
+    named = stored(named.select("p1", "p2", "line", cluster.alias("cluster")))
+    occurrences = stored(found.select("doc_id", "start", "stop", "p1", "p2", "line").join(named, ["p1", "p2", "line"]).select("doc_id", "start", "stop", "cluster"))
+    first = occurrences.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
+    return occurrences.join(stored(first), "cluster").select(
         "doc_id", "start", "stop", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"),
         (F.struct("doc_id", "start") != F.col("first")).alias("removed"),
     )
 
 
-def line_sets(lines: DataFrame) -> DataFrame:
-    """(id, tokens): the distinct shingle hashes of each line."""
-    from .jaccard_join import shingle_sets
-
-    return shingle_sets(lines.select(F.col("id").alias("doc_id"), "text"), K)
-
-
 def removals(repeated: DataFrame) -> DataFrame:
     """One row per document that loses text: doc_id, spans ("start:end,...", joined where they touch or overlap),
     n_paragraphs, removed_chars and keep_ids, the documents that keep the text."""
