@@ -9,7 +9,7 @@ no pair inside a component is made and a cluster of n near copies costs n compar
 
 Tokens that no other candidate has bound the overlap too: with u of them, n tokens can share n - u at most. That drops
 candidates without any partner, ranks the leaders (the original of a cluster of edited copies has the least u), and
-forbids pairs whose tokens of their own are more than the symmetric difference that the similarity allows.
+forbids pairs that cannot share as many tokens as their sizes and the similarity ask for.
 """
 
 from __future__ import annotations
@@ -73,8 +73,8 @@ def link_components(
 
 
 def _apart(n, u, other_n, other_u, num: int, den: int):
-    """Whether the tokens of their own alone keep two sets (or a set and the best of a group) below the similarity."""
-    return (u + other_u) * (den + num) > (n + other_n) * (den - num)
+    """Whether the tokens of their own keep two sets below the similarity: they share n - u tokens of either at most."""
+    return F.least(n - u, other_n - other_u) * (den + num) < (n + other_n) * num
 
 
 def _leader_pairs(known: DataFrame, turn: int, num: int, den: int) -> DataFrame:
@@ -92,13 +92,12 @@ def _matrix_links(known: DataFrame, sets: DataFrame, num: int, den: int, group:
     ids = known.select("id", "comp").distinct()
     sizes = ids.groupBy("comp").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / group)).cast("int")
-    placed = stored(known.join(stored(sizes), "comp").withColumn("part", F.struct("u", part.alias("p"))))
-    # The query is in the smaller component; groups that sizes and tokens of their own rule out are not asked.
-    columns = placed.groupBy("key", "comp", "part", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    columns = columns.select("key", F.col("comp").alias("gc"), F.col("part").alias("gp"), F.col("size").alias("gs"), "least", "most")
+    placed = stored(known.join(stored(sizes), "comp").withColumn("part", F.struct("n", "u", part.alias("p"))))
+    # The members of a group agree in size and in tokens of their own, so groups that these rule out are not asked. The query
+    # is in the smaller component.
+    columns = placed.select("key", F.col("comp").alias("gc"), F.col("part").alias("gp"), F.col("size").alias("gs")).distinct()
     smaller = F.struct("size", "comp") < F.struct(F.col("gs").alias("size"), F.col("gc").alias("comp"))
-    fits = (F.col("n") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("n") * num)
-    fits &= ~_apart(F.col("n"), F.col("u"), F.col("most"), F.col("gp.u"), num, den)
+    fits = (F.least("n", "gp.n") * den >= F.greatest("n", "gp.n") * num) & ~_apart(F.col("n"), F.col("u"), F.col("gp.n"), F.col("gp.u"), num, den)
     asked = stored(placed.join(stored(columns), "key").where(smaller & fits).select("id", "gc", "gp").distinct())
     queried = asked.select("gc", "gp").distinct()
     inside = placed.select("id", F.col("comp").alias("gc"), F.col("part").alias("gp")).distinct().join(queried, ["gc", "gp"])
