@@ -169,10 +169,11 @@ def toxicity(
 
     schema = "doc_id long, " + ", ".join(f"`{n}` int" for n in names) + ", slots array<int>"
     # One text per id; the order makes the fit the same in every run.
-    rows = sampled.select("doc_id", *names, "text").mapInArrow(features, schema).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    lists = [np.asarray(x, np.int64) for x in rows["slots"]]
-    fold = (rows["doc_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % folds
-    model = train_chain(lists, rows[list(names)].to_numpy(float).reshape(len(rows), len(names)), fold, names, bits, folds)
+    rows = sampled.select("doc_id", *names, "text").mapInArrow(features, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    ids = rows["doc_id"].to_numpy().astype(np.uint64)
+    lists = [x.values.to_numpy().astype(np.int64) for x in rows["slots"]]
+    fold = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % folds
+    model = train_chain(lists, np.stack([rows[n].to_numpy().astype(float) for n in names], axis=1), fold, names, bits, folds)
     return score_chain(given, model, bool(len(lists)))
 
 
