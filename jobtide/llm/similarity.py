@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import components, stored
 
@@ -84,15 +84,18 @@ def _leader_pairs(known: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     lead = known.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "u", "comp")).alias("lead"))
     fits = (F.least("n", "lead.n") * den >= F.greatest("n", "lead.n") * num) & (F.col("comp") != F.col("lead.comp"))
     fits &= ~_apart(F.col("n"), F.col("u"), F.col("lead.n"), F.col("lead.u"), num, den)
-    best = known.join(stored(lead), "key").where(fits).groupBy("id").agg(F.min(F.struct("lead.rank", "lead.id")).alias("lead"))
-    return best.select(F.col("id").alias("b"), F.col("lead.id").alias("a"))
+    # Of the leaders an id meets, the one with the most buckets in common: by MinHash the most similar one.
+    met = known.join(stored(lead), "key").where(fits).groupBy("id", F.col("lead.id").alias("a")).agg(F.count("*").alias("c"))
+    best = met.groupBy("id").agg(F.max(F.struct("c", "a")).alias("lead"))
+    return best.select(F.col("id").alias("b"), F.col("lead.a").alias("a"))
 
 
 def _matrix_links(known: DataFrame, sets: DataFrame, num: int, den: int, group: int) -> DataFrame:
-    ids = known.select("id", "comp").distinct()
-    sizes = ids.groupBy("comp").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / group)).cast("int")
-    placed = stored(known.join(stored(sizes), "comp").withColumn("part", F.struct("n", "u", part.alias("p"))))
+    ids = known.select("id", "comp", "n", "u").distinct()
+    alike = ids.groupBy("comp", "n", "u").agg(F.count("*").alias("alike"))
+    sizes = alike.withColumn("size", F.sum("alike").over(W.partitionBy("comp")))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("alike") / group)).cast("int")
+    placed = stored(known.join(stored(sizes), ["comp", "n", "u"]).withColumn("part", F.struct("n", "u", part.alias("p"))))
     # The members of a group agree in size and in tokens of their own, so groups that these rule out are not asked. The query
     # is in the smaller component.
     columns = placed.select("key", F.col("comp").alias("gc"), F.col("part").alias("gp"), F.col("size").alias("gs")).distinct()
