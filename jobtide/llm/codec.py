@@ -20,8 +20,8 @@ import numpy as np
 MAGIC = b"JTCM"
 HEAD = struct.Struct("<4sIIII")  # magic, ids, documents that start here, payload words, checksum
 IDS = 1 << 16
-LONGEST = 8192  # ids of a block
-LANES = 1024  # blocks coded side by side
+LONGEST = 4096  # ids of a block
+LANES = 512  # blocks coded side by side
 _ORDER1, _ORDER2 = 12, 13  # bits of the context tables
 _FIRST = 256
 _SHIFT, _TOP = np.uint64(28), np.uint64(1 << 32)
@@ -108,13 +108,15 @@ def encode_lanes(ids: np.ndarray) -> list[np.ndarray]:
     out = np.zeros(lanes * room, np.uint32)
     begin = np.arange(lanes, dtype=np.int64) * room
     place = begin.copy()
-    row = np.arange(lanes, dtype=np.int64) * IDS
-    order0 = np.zeros(lanes * IDS, np.uint32)  # by id: first place in the sorted ids, and the number from bit 16
+    kinds = int(ids.max()) + 1 if ids.size else 1
+    row = np.arange(lanes, dtype=np.int64) * kinds
+    order0 = np.zeros(lanes * kinds, np.uint32)  # by id: first place in the sorted ids, and the number from bit 16
     shift, renew = 16, _FIRST
     for t in range(length):
         if t == renew:
             s, first, number = _sorted_runs(ids, t)
-            order0[(row[:, None] + s).ravel()] = (first | (number << 16)).astype(np.uint32).ravel()
+            for k in range(lanes):  # block by block: no index array over all of them
+                order0[row[k] : row[k] + kinds][s[k]] = first[k] | (number[k] << 16)
             shift, renew = 16 - (t.bit_length() - 1), 2 * t
         x = ids[t]
         model.propose()

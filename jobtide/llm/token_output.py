@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,8 @@ from ..session import shuffle_width
 from . import codec
 from .common import stored, texts
 
-MOST_WORDS = 400_000  # words whose ids a worker remembers
-GROUP_IDS = 4_000_000  # ids coded at a time: memory of a task
+MOST_WORDS = 300_000  # words whose ids a worker remembers
+GROUP_IDS = 2_000_000  # ids coded at a time: memory of a task
 _MARK = "\x01"
 # Characters on which str.split and the white space of the tokenizer's patterns may differ, and the mark itself.
 _ODD = re.compile("[\x01\x1c-\x1f]")
@@ -49,7 +50,8 @@ class Encoder:
         self.total = 0
 
     def _remember(self, fresh: list[str]) -> None:
-        ids = np.array(self._plain(f" {_MARK} ".join(fresh) + f" {_MARK}"), np.int32)
+        chunks = [f" {_MARK} ".join(fresh[i : i + 50]) + f" {_MARK}" for i in range(0, len(fresh), 50)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) for i in e.ids], np.int32)
         stops = np.flatnonzero(ids == self.mark[0])
         if len(self.mark) != 1 or len(stops) != len(fresh):  # a word that holds the mark's own id: one by one
             parts = [np.array(self._plain(w), np.int32) for w in fresh]
@@ -76,7 +78,7 @@ class Encoder:
             self._remember(sorted(fresh))
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         get = self.places.__getitem__
-        place = np.fromiter((p for own in lists for p in map(get, own)), np.int64, int(counts.sum()))
+        place = np.fromiter(map(get, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         sizes = self.sizes[0][place]
         ends = np.cumsum(sizes)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[0][place] - (ends - sizes), sizes)
@@ -244,10 +246,10 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     # Pieces without a document belong to the head with the largest block below theirs: carried down the shard's blocks.
     tails = pieces.where("doc_at IS NULL").select("shard", "doc_at", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), "block", "n", "crc")
     # In a block the head comes after the piece that opens it, so it is carried on from the next block.
-    chain = heads.unionByName(tails).withColumn("head", F.last("doc_at", True).over(
+    parts = heads.unionByName(tails).withColumn("head", F.last("doc_at", True).over(
         W.partitionBy("shard").orderBy("block", F.col("doc_at").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     ))
-    joined = chain.groupBy("shard", "head").agg(
+    joined = parts.groupBy("shard", "head").agg(
         F.first("doc_id", True).alias("doc_id"), F.first("n_tokens", True).alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("parts"),
     )
