@@ -1,7 +1,7 @@
 """Vectorised text kernels for Arrow batches: words, word hashes, shingles and MinHash.
 
 Words are runs of bytes other than space and tab to carriage return; only A-Z are lower-cased. A batch is
-worked on in slices of a few MB (never less than one text), so memory follows the longest text, not the batch.
+worked on in slices of a MB (never less than one text), so memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 _RNG = np.random.default_rng(20_240_117)
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)

@@ -18,7 +18,7 @@ from ..session import shuffle_width
 from . import codec
 from .common import stored, texts
 
-MOST_WORDS = 300_000  # words whose ids a worker remembers
+MOST_WORDS = 150_000  # words whose ids a worker remembers
 GROUP_IDS = 2_000_000  # ids coded at a time: memory of a task
 _MARK = "\x01"
 # Characters on which str.split and the white space of the tokenizer's patterns may differ, and the mark itself.
@@ -146,6 +146,7 @@ def _write(tokenizer: str, end_id: int):
                     yield from flush(False)
                 row = to
         yield from flush(True)
+        own.clear()  # the worker lives on; its memory is for the next task
 
     return blocks
 
