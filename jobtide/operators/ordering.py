@@ -90,17 +90,13 @@ def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
-# A page that ends beyond this row is cut by distributed position instead of by a top-k on the driver.
-DEEP_PAGE = 100_000
-
-
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, deep: bool = False) -> DataFrame:
     """Rows ``offset .. offset+limit-1`` in ``order``, which should be total.
 
-    Near pages are a top-k: every task keeps ``offset + limit`` rows. For deep ones that would gather
-    too many rows in one place, so rows are placed by :func:`global_position` and filtered.
+    A page is a top-k: every task keeps ``offset + limit`` rows. For pages far down that gathers many rows in one
+    place; the caller then asks for a ``deep`` page, which is cut by :func:`global_position`, one sort of the whole match.
     """
-    if offset + limit > DEEP_PAGE:
+    if deep:
         placed = global_position(df, order, "_position")
         return placed.where(F.col("_position").between(offset + 1, offset + limit)).drop("_position")
     ordered = df.orderBy(*order)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def lookup(df: DataFrame, column: str, value) -> DataFrame:
@@ -21,10 +21,19 @@ def lookup_many(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return keys.join(table, on, "left")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_nulls: tuple[str, ...] = ()) -> DataFrame:
+def last_per_key(df: DataFrame, keys: list[str], last_by: list[Column] | None = None) -> DataFrame:
+    """One row per key: the last by ``last_by``; without an order, one that a hash of the row decides, the same in every run."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    order = F.struct(*(last_by or []), F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    return df.groupBy(*keys).agg(F.max_by(row, order).alias("_row")).select("_row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_nulls: tuple[str, ...] = (), last_by: list[Column] | None = None) -> DataFrame:
     """Insert new keys, update known ones. A null in ``new`` keeps the old value, except in the
-    columns ``keep_nulls``, where null overwrites. Columns that ``new`` lacks stay as they are."""
-    o, n = old.alias("o"), new.withColumn("_hit", F.lit(True)).alias("n")
+    columns ``keep_nulls``, where null overwrites. Columns that ``new`` lacks stay as they are. Of several new rows of a key the
+    last one counts (:func:`last_per_key`)."""
+    o, n = old.alias("o"), last_per_key(new, keys, last_by).withColumn("_hit", F.lit(True)).alias("n")
     on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     columns = []
     for c in old.columns:
@@ -83,11 +92,12 @@ def reset_columns(df: DataFrame, predicate: Column, columns: list[str], **fixed:
     return update_where(df, predicate, {**{c: F.lit(None) for c in columns}, **fixed})
 
 
-def update_from(df: DataFrame, source: DataFrame, on: list[str], set_columns: dict[str, Column], when: Column | None = None) -> DataFrame:
-    """UPDATE ... FROM: columns of ``source`` (unique on ``on``) feed ``set_columns``; rows without a
+def update_from(df: DataFrame, source: DataFrame, on: list[str], set_columns: dict[str, Column], when: Column | None = None,
+                last_by: list[Column] | None = None) -> DataFrame:
+    """UPDATE ... FROM: columns of ``source`` (its last row per ``on``) feed ``set_columns``; rows without a
     match, or where ``when`` is not true, keep their values."""
     extra = [c for c in source.columns if c not in on]
-    marked = source.select(*on, *[F.col(c).alias(f"src_{c}") for c in extra]).withColumn("_hit", F.lit(True))
+    marked = last_per_key(source, on, last_by).select(*on, *[F.col(c).alias(f"src_{c}") for c in extra]).withColumn("_hit", F.lit(True))
     hit = F.coalesce(F.col("_hit") & (when if when is not None else F.lit(True)), F.lit(False))
     joined = df.join(marked, on, "left")
     return joined.select(
@@ -110,10 +120,11 @@ def fill_from(df: DataFrame, target: str, origin: str, drop_origin: bool = False
     return filled.drop(origin) if drop_origin else filled
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Partial update: only non-null supplied fields win; unknown keys are not inserted."""
+def patch(base: DataFrame, changes: DataFrame, key: str, last_by: list[Column] | None = None) -> DataFrame:
+    """Partial update: only non-null supplied fields win; unknown keys are not inserted. Of several changes of a key the
+    last one counts."""
     fields = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_p_{c}") for c in fields])
+    renamed = last_per_key(changes, [key], last_by).select(key, *[F.col(c).alias(f"_p_{c}") for c in fields])
     joined = base.join(renamed, key, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns]

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import AsOf, posted_within
 from ..operators.ordering import page
+from ..session import cut_lineage
 from .views import Tables
 
-# A page is sent to every task only up to this many ids; a longer one is joined by shuffle.
-BROADCAST_ROWS = 10_000
-
 SORTABLE = (
     "ranking_position", "ranking_score", "base_score", "posted_date", "created_at", "last_seen_at", "title",
     "num_applicants", "base_salary_min", "base_salary_max", "id",
@@ -123,15 +121,14 @@ def count_jobs(t: Tables, s: Search, as_of: AsOf) -> DataFrame:
     return matching(t, s, as_of).agg(F.count("*").alias("total"))
 
 
-def search_page(t: Tables, s: Search, as_of: AsOf) -> DataFrame:
+def search_page(t: Tables, s: Search, as_of: AsOf, deep: bool = False) -> DataFrame:
     """The requested page with company, place, sources, types and enrichment state.
 
-    The page is cut first; only its at most ``limit`` rows meet the other tables.
+    The page is cut first and stored (this runs a job), so the search is done once; only its at most ``limit`` rows meet
+    the other tables. ``deep`` as in :func:`page`.
     """
-    rows = page(matching(t, s, as_of), sort_order(s), s.limit, s.offset)
+    rows = cut_lineage(page(matching(t, s, as_of), sort_order(s), s.limit, s.offset, deep))
     ids = rows.select(F.col("id").alias("job_posting_id"))
-    if s.limit <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     sources = t["job_sources"].join(ids, "job_posting_id", "left_semi").groupBy("job_posting_id").agg(
         F.array_sort(F.collect_list(F.struct("source", "source_job_id"))).alias("sources")
     )

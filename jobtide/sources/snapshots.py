@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import salary, text
 from ..schemas import INDEED_ITEM, LINKEDIN_ITEM
@@ -25,13 +25,37 @@ INDEED_DEFAULTS = {
 
 
 def read_snapshot(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
-    """Items of landed JSON files, in file order (``arrival``).
+    """Items of landed JSON files, in order of file time, file name and place in the file (``arrival``).
 
     A file holds one JSON array, read by one task, or with ``lines`` one item per line, which large
     files need to be split over tasks.
     """
     items = spark.read.schema(ITEM_SCHEMAS[source]).option("multiLine", not lines).json(path)
-    return items.withColumn("arrival", F.monotonically_increasing_id())
+    return in_arrival_order(with_file_place(items))
+
+
+_PLACE = ("_file_time", "_file_path", "_file_block")
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
+
+
+def with_file_place(items: DataFrame) -> DataFrame:
+    """The rows of a file scan (or stream) with the time, name and block of their file."""
+    m = "_metadata"
+    return items.select(
+        "*", F.col(f"{m}.file_modification_time").alias(_PLACE[0]), F.col(f"{m}.file_path").alias(_PLACE[1]), F.col(f"{m}.file_block_start").alias(_PLACE[2])
+    )
+
+
+def in_arrival_order(items: DataFrame) -> DataFrame:
+    """Replace the columns of :func:`with_file_place` by ``arrival``, a number in order of time, name, block and row.
+
+    Spark deals files to partitions by size, so the partition says nothing about the order. A block is read by one task in order; the
+    blocks are ranked (one row per block of a file) and the rank is put before the row's number inside its partition.
+    """
+    numbered = items.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+    ranked = items.select(*_PLACE).distinct().withColumn("_rank", F.row_number().over(W.orderBy(*_PLACE)).cast("long"))
+    joined = numbered.join(ranked, list(_PLACE))
+    return joined.withColumn("arrival", F.shiftleft("_rank", _ROW_BITS) + F.col("_row")).drop(*_PLACE, "_row", "_rank")
 
 
 def parse_items(df: DataFrame, column: str, source: str) -> DataFrame:

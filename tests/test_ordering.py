@@ -47,12 +47,11 @@ def test_rank_in_groups(spark):
     assert got == expected
 
 
-def test_deep_page_equals_near_page(spark, monkeypatch):
+def test_deep_page_equals_near_page(spark):
     df = spark.createDataFrame(sample(), "id string, g string, s double")
     order = [F.col("s").desc(), F.col("id")]
     near = [r["id"] for r in ordering.page(df, order, 40, 700).collect()]
-    monkeypatch.setattr(ordering, "DEEP_PAGE", 100)
-    assert sorted(r["id"] for r in ordering.page(df, order, 40, 700).collect()) == sorted(near)
+    assert sorted(r["id"] for r in ordering.page(df, order, 40, 700, deep=True).collect()) == sorted(near)
 
 
 def test_best_row_and_page(spark):
@@ -72,3 +71,25 @@ def test_spread_join_equals_plain_join(spark):
         got = spread_join(left, right, ["g"], "id", how).select("id", "g", "top").collect()
         plain = left.join(right, "g", how).select("id", "g", "top").collect()
         assert sorted(map(repr, got)) == sorted(map(repr, plain))
+
+
+def test_spread_join_splits_null_and_hot_keys(spark):
+    """90 % null keys, or 90 % one value: with adaptive execution off no task gets twice an even share."""
+    from jobtide.operators.skew import spread_join
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "8"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+            spark.conf.set(k, v)
+        right = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+        for common in (None, 7):
+            left = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 2000).otherwise(F.lit(common).cast("long")).alias("k"))
+            got = spread_join(left, right, ["k"], "id").withColumn("task", F.spark_partition_id())
+            sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+            assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 8
+            assert got.where("NOT (v <=> k * 10)").count() == 0
+            inner = spread_join(left, right, ["k"], "id", "inner")
+            assert inner.count() == left.where("k IS NOT NULL").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

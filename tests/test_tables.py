@@ -157,3 +157,38 @@ def test_classifier_text(spark):
     c = F.col
     got = df.select(text.classifier_text(c("n"), c("w"), c("s"), c("e"), c("nl"), c("en"), c("f"), c("k"))).first()[0]
     assert got == "Company: Alpha\nSector: IT\nDescription: Builds\nFacts: [hq] Zetel in Gent | [] Old\nKey facts: a | b"
+
+
+def test_one_row_per_key(spark):
+    from pyspark.sql import functions as F
+
+    from jobtide.operators import tables
+
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "n", 5), (3, "o", 4)], "id int, v string, at int")
+    last = [F.col("at")]
+    want = {(1, "y"), (2, "b"), (3, "n")}
+    assert sorted(map(tuple, tables.upsert(old, new, ["id"], last_by=last).collect())) == sorted(want)
+    got = tables.update_from(old, new, ["id"], {"v": F.col("src_v")}, last_by=last).collect()
+    assert sorted(map(tuple, got)) == [(1, "y"), (2, "b")]
+    assert sorted(map(tuple, tables.patch(old, new, "id", last_by=last).collect())) == [(1, "y"), (2, "b")]
+    assert tables.upsert(old, new, ["id"]).count() == 3
+
+
+def test_arrival_follows_file_time_and_name(spark, tmp_path):
+    import os
+
+    from jobtide.sources.snapshots import read_snapshot
+
+    for order in ((1, 5, 50), (50, 5, 1)):
+        folder = tmp_path / f"landing{order[0]}"
+        folder.mkdir()
+        n = 0
+        for i, rows in enumerate(order):
+            path = folder / f"{i:02d}.json"
+            path.write_text("\n".join(f'{{"job_posting_id": "{n + k:04d}"}}' for k in range(rows)))
+            os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+            n += rows
+        got = read_snapshot(spark, str(folder), "linkedin", lines=True).orderBy("arrival").collect()
+        assert [r["job_posting_id"] for r in got] == [f"{k:04d}" for k in range(n)]
+        assert len({r["arrival"] for r in got}) == n
