@@ -262,11 +262,11 @@ def changed_postings(t):
 
 
 @query("content_hashes", "M12", """
-SELECT id, md5('employment_type=' || coalesce(employment_type, '~') || chr(10) || 'num_applicants=' || coalesce(CAST(num_applicants AS VARCHAR), '~') || chr(10)
+SELECT id, md5('base_salary_max=' || coalesce(CAST(base_salary_max AS VARCHAR), '~') || chr(10) || 'base_salary_min=' || coalesce(CAST(base_salary_min AS VARCHAR), '~') || chr(10)
+ || 'employment_type=' || coalesce(employment_type, '~') || chr(10) || 'num_applicants=' || coalesce(CAST(num_applicants AS VARCHAR), '~') || chr(10)
  || 'seniority_level=' || coalesce(seniority_level, '~') || chr(10) || 'title=' || title) AS content_hash FROM @job_postings""")
 def content_hashes(t):
-    fields = ("title", "num_applicants", "employment_type", "seniority_level")
-    return t["job_postings"].select("id", changes.content_hash(fields).alias("content_hash"))
+    return t["job_postings"].select("id", changes.content_hash().alias("content_hash"))
 
 
 @query("label_seniority", "M15", f"SELECT job_posting_id, {SENIORITY.replace('e.job_posting_id', 'job_posting_id')} AS seniority FROM @llm_enrichment")
@@ -312,10 +312,12 @@ def retry_plan(t):
 
 @query("retry_plan_applied", "M20 S31", f"""
 WITH p AS (SELECT *, CASE WHEN status = 'running' THEN {_PLAN} END AS a FROM @scrape_runs)
-SELECT id, CASE a WHEN 'completed' THEN 'completed' WHEN 'permanently_failed' THEN 'failed' WHEN 'scheduled_retry' THEN 'failed' ELSE status END AS status, retry_count, NULL::BIGINT AS original_run_id FROM p
-UNION ALL SELECT NULL, 'pending_retry', retry_count + 1, id FROM p WHERE a = 'scheduled_retry'""")
+SELECT id, CASE a WHEN 'completed' THEN 'completed' WHEN 'permanently_failed' THEN 'failed' WHEN 'scheduled_retry' THEN 'failed' ELSE status END AS status, retry_count, search_query_id, NULL::BIGINT AS original_run_id, TRUE AS has_id FROM p
+UNION ALL SELECT NULL, 'pending_retry', retry_count + 1, search_query_id, id, TRUE FROM p WHERE a = 'scheduled_retry'""")
 def retry_plan_applied(t):
-    return runs.apply_retry_plan(t["scrape_runs"], RUNS_AS_OF).select("id", "status", "retry_count", "original_run_id")
+    planned = runs.apply_retry_plan(t["scrape_runs"], RUNS_AS_OF)
+    own = F.when(F.col("original_run_id").isNull(), F.col("id"))  # a retry's key is a hash that SQL does not have
+    return planned.select(own.alias("id"), "status", "retry_count", "search_query_id", "original_run_id", F.col("id").isNotNull().alias("has_id"))
 
 
 @query("due_retries", "M21", f"SELECT id, {ts('next_retry_at')} FROM @scrape_runs WHERE status = 'pending_retry' AND next_retry_at <= {RUNS_NOW}")

@@ -206,13 +206,17 @@ def missing_role_backlog(t):
 
 @query("small_backlogs", "P24", """
 SELECT 'titles' AS backlog, id FROM @job_postings WHERE title_classification IS NULL
-UNION ALL SELECT 'languages', id FROM @programming_languages WHERE is_active AND relevance_score IS NULL
+UNION ALL SELECT 'languages', id FROM @programming_languages WHERE relevance_score IS NULL
+UNION ALL SELECT 'ecosystems', id FROM @ecosystems WHERE relevance_score IS NULL
+UNION ALL SELECT 'consulting', company_id FROM @company_master_data WHERE bedrijfsomschrijving_en IS NOT NULL
 UNION ALL SELECT 'seats', c.id FROM @companies c JOIN @company_master_data m ON m.company_id = c.id WHERE ai_enriched AND locatie_belgie IS NULL
 UNION ALL SELECT 'sizes', company_id FROM @company_master_data WHERE size_category IS NULL""")
 def small_backlogs(t):
     parts = [
         ("titles", lifecycle.unclassified_titles(t["job_postings"]), "id"),
         ("languages", lifecycle.unscored_items(t["programming_languages"]), "id"),
+        ("ecosystems", lifecycle.unscored_items(t["ecosystems"]), "id"),
+        ("consulting", lifecycle.described(t["company_master_data"]), "company_id"),
         ("seats", lifecycle.enriched_without_seat(t["companies"], t["company_master_data"]), "id"),
         ("sizes", lifecycle.never_sized(t["company_master_data"]), "company_id"),
     ]
@@ -266,6 +270,16 @@ def company_autocomplete(t):
     return suggestions(t["companies"], "name", "00").select("id", "name")
 
 
+@query("location_autocomplete", "P29", "SELECT id, full_location_string FROM @locations WHERE full_location_string ILIKE '%CITY 1%' ORDER BY full_location_string, id LIMIT 10")
+def location_autocomplete(t):
+    return suggestions(t["locations"], "full_location_string", "CITY 1").select("id", "full_location_string")
+
+
+@query("active_ecosystems", "P30", "SELECT id, name FROM @ecosystems WHERE is_active")
+def active_ecosystems(t):
+    return listings.active_dimension(t["ecosystems"]).select("id", "name")
+
+
 @query("active_languages", "P30", "SELECT id, name FROM @programming_languages WHERE is_active")
 def active_languages(t):
     return listings.active_dimension(t["programming_languages"]).select("id", "name")
@@ -459,11 +473,13 @@ def run_jobs_of_source(t):
 
 
 @query("events_near_runs", "J14", """
-SELECT e.event_id, r.id AS run_id FROM @events e JOIN @scrape_runs r ON e.ts BETWEEN r.started_at - INTERVAL 1 MINUTE
+SELECT e.event_id, r.id AS run_id FROM @events e JOIN (SELECT * FROM @scrape_runs WHERE started_at IS NOT NULL ORDER BY jobs_found DESC NULLS LAST, id LIMIT 1) r ON e.ts BETWEEN r.started_at - INTERVAL 1 MINUTE
  AND coalesce(r.completed_at, r.started_at + INTERVAL 10 MINUTE) + INTERVAL 1 MINUTE""")
 def events_near_runs(t):
+    # One run is looked at, the one that found most; near all runs at once the rows would grow with the square.
+    run = t["scrape_runs"].where("started_at IS NOT NULL").orderBy(F.col("jobs_found").desc_nulls_last(), "id").limit(1)
     points = t["events"].select("event_id", "ts")
-    return joins.near_in_time(points, "ts", joins.run_spans(t["scrape_runs"]), "span_lo", "span_hi").select("event_id", "run_id")
+    return joins.near_in_time(points, "ts", joins.run_spans(run), "span_lo", "span_hi").select("event_id", "run_id")
 
 
 @query("last_scraped", "J15 W3", f"""
@@ -505,11 +521,11 @@ def query_history_by_id(t):
 @query("posting_match", "J19 T2", f"""
 WITH s AS (SELECT dedup_key, arg_min(id, (created_at, id)) AS existing_id FROM (SELECT p.id, p.created_at, {sql_key('p.title', 'c.name')} AS dedup_key FROM @job_postings p JOIN @companies c ON c.id = p.company_id) GROUP BY 1)
 SELECT r.arrival, {sql_key('r.job_title', 'r.company_name')} AS dedup_key, s.existing_id
-FROM @linkedin_raw r LEFT JOIN s ON s.dedup_key = {sql_key('r.job_title', 'r.company_name')} WHERE r.job_title IS NOT NULL""")
+FROM @linkedin_raw r LEFT JOIN s ON s.dedup_key = {sql_key('r.job_title', 'r.company_name')}""")
 def posting_match(t):
     names = t["companies"].select(F.col("id").alias("company_id"), F.col("name"))
     stored = t["job_postings"].drop("dedup_key").join(names, "company_id").withColumn("dedup_key", text.dedup_key(F.col("title"), F.col("name")))
-    records = t["linkedin_raw"].where("job_title IS NOT NULL").select("arrival", F.col("job_title").alias("title"), "company_name")
+    records = t["linkedin_raw"].select("arrival", F.col("job_title").alias("title"), "company_name")
     return joins.match_postings(records, stored).select("arrival", "dedup_key", "existing_id")
 
 
@@ -526,11 +542,12 @@ def company_match(t):
 SELECT c.id, 'Company: ' || c.name || CASE WHEN bedrijfswebsite <> '' THEN chr(10) || 'Website: ' || bedrijfswebsite ELSE '' END
   || CASE WHEN sector_en <> '' THEN chr(10) || 'Sector: ' || sector_en ELSE '' END || CASE WHEN aantal_werknemers <> '' THEN chr(10) || 'Employees: ' || aantal_werknemers ELSE '' END
   || coalesce(chr(10) || 'Description: ' || coalesce(nullif(bedrijfsomschrijving_nl, ''), nullif(bedrijfsomschrijving_en, '')), '')
-  || chr(10) || 'Facts: [city] ' || coalesce(locatie_belgie, 'none') || ' | [] ' || sector_fr AS input_text
-FROM @companies c LEFT JOIN @company_master_data m ON m.company_id = c.id WHERE m.company_id IS NOT NULL AND coalesce(locatie_belgie, 'none') <> ''""")
+  || chr(10) || 'Facts: [city] ' || coalesce(nullif(locatie_belgie, ''), 'none') || coalesce(' | [] ' || nullif(sector_fr, ''), '')
+  || coalesce(chr(10) || 'Key facts: ' || nullif(concat_ws(' | ', 'size ' || size_category, 'since ' || CAST(founded_year AS VARCHAR)), ''), '') AS input_text
+FROM @companies c LEFT JOIN @company_master_data m ON m.company_id = c.id""")
 def classifier_inputs(t):
-    m = t["company_master_data"].where("coalesce(locatie_belgie, 'none') <> ''").drop("id", "industry")
-    joined = t["companies"].join(m, F.col("id") == F.col("company_id"))
+    m = t["company_master_data"].drop("id", "industry")
+    joined = t["companies"].join(m, F.col("id") == F.col("company_id"), "left")
 
     def fact(category, nl, en):
         return F.struct(category.alias("category"), nl.alias("text_nl"), en.alias("text_en"))
@@ -541,11 +558,12 @@ def classifier_inputs(t):
         fact(F.lit("empty"), nothing, nothing),
     )
     c = F.col
+    size_arguments = F.array_compact(F.array(F.concat(F.lit("size "), c("size_category")), F.concat(F.lit("since "), c("founded_year").cast("string"))))
     return joined.select(
         "id",
         text.classifier_text(
             c("name"), c("bedrijfswebsite"), c("sector_en"), c("aantal_werknemers"), c("bedrijfsomschrijving_nl"),
-            c("bedrijfsomschrijving_en"), facts, F.array().cast("array<string>"),
+            c("bedrijfsomschrijving_en"), facts, size_arguments,
         ).alias("input_text"),
     )
 

@@ -95,9 +95,16 @@ def indeed_run_totals(t):
 
 @query("query_totals", "A11", """
 SELECT count(*) AS total_queries, count(*) FILTER (WHERE is_active) AS active_queries, count(*) FILTER (WHERE schedule_enabled) AS scheduled_queries
-FROM (SELECT * FROM @search_queries WHERE source = 'linkedin' OR source IS NULL ORDER BY created_at DESC, id LIMIT 50)""")
+FROM @search_queries WHERE source = 'linkedin' OR source IS NULL""")
 def query_totals(t):
-    return stats.query_totals(listings.query_page(t["search_queries"], "linkedin"))
+    return stats.query_totals(listings.of_source(t["search_queries"], "linkedin"))
+
+
+@query("indeed_query_totals", "A11", """
+SELECT count(*) AS total_queries, count(*) FILTER (WHERE is_active) AS active_queries, count(*) FILTER (WHERE schedule_enabled) AS scheduled_queries
+FROM @search_queries WHERE source = 'indeed'""")
+def indeed_query_totals(t):
+    return stats.query_totals(listings.of_source(t["search_queries"], "indeed"))
 
 
 @query("enrichment_monitor", "A13", """
@@ -208,6 +215,11 @@ def duplicate_company_names(t):
     return dedup.duplicate_groups(t["companies"], F.col("name"), "name")
 
 
+@query("duplicate_language_names", "A25", "SELECT lower(name) AS name_key, count(*) AS copies FROM @programming_languages GROUP BY 1 HAVING count(*) > 1")
+def duplicate_language_names(t):
+    return dedup.duplicate_groups(t["programming_languages"], F.lower("name"), "name_key")
+
+
 @query("duplicate_document_texts", "A25", "SELECT md5(text) AS text_hash, count(*) AS copies FROM @documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_document_texts(t):
     return dedup.duplicate_groups(t["documents"], F.md5("text"), "text_hash")
@@ -215,8 +227,9 @@ def duplicate_document_texts(t):
 
 @query("shared_ranking_positions", "A25 A26", f"""
 WITH l AS (SELECT * FROM @job_postings WHERE {_RANKED} AND ranking_updated_at = (SELECT max(ranking_updated_at) FROM @job_postings WHERE {_RANKED}))
-SELECT ranking_position, count(*) AS count, string_agg(title || ' (' || coalesce(source, 'no source') || ')', ' | ' ORDER BY title || ' (' || coalesce(source, 'no source') || ')') AS jobs
-FROM l GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10""")
+SELECT ranking_position, CAST(sum(times) AS BIGINT) AS count, string_agg(label || ' x' || CAST(times AS VARCHAR), ' | ' ORDER BY label) AS jobs
+FROM (SELECT ranking_position, title || ' (' || coalesce(source, 'no source') || ')' AS label, count(*) AS times FROM l GROUP BY 1, 2)
+GROUP BY 1 HAVING sum(times) > 1 ORDER BY 1 LIMIT 10""")
 def shared_ranking_positions(t):
     return stats.shared_positions(joins.latest_ranking(t["job_postings"]))
 
@@ -282,19 +295,19 @@ def company_profiles(t):
 
 
 @query("payload_plan_costs", "A34", """
-WITH s AS (SELECT sum(octet_length(encode('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","n_chars":' || CAST(n_chars AS VARCHAR) || '}')))::DOUBLE / count(*) / 1073741824::DOUBLE AS g FROM @documents),
+WITH s AS (SELECT sum(octet_length(encode('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"lang":"' || lang || '","source":"' || source || '","n_chars":' || CAST(n_chars AS VARCHAR) || '}')))::DOUBLE / count(*) / 1073741824::DOUBLE AS g FROM @documents),
 p AS (SELECT * FROM (VALUES ('pay_as_you_go', 0.6::DOUBLE, 0::DOUBLE), ('starter', 0.51::DOUBLE, 499::DOUBLE), ('advanced', 0.45::DOUBLE, 999::DOUBLE), ('advanced_plus', 0.42::DOUBLE, 1999::DOUBLE)) v(plan, price, fee))
 SELECT n AS monthly_jobs, plan, round(greatest(n * g * price, fee), 6) AS monthly_cost FROM s, p, (VALUES (100), (500), (1000), (5000), (10000)) w(n)""")
 def payload_plan_costs(t):
-    sizes = stats.payload_size(t["documents"], ["doc_id", "lang", "n_chars"])
+    sizes = stats.payload_size(t["documents"], ["doc_id", "text", "lang", "source", "n_chars"])
     return stats.plan_costs(sizes).withColumn("monthly_cost", F.round("monthly_cost", 6))
 
 
 @query("cheapest_plans", "A34", """
-SELECT n AS monthly_jobs, 'pay_as_you_go' AS best_plan, round(n * (SELECT sum(octet_length(encode('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","n_chars":' || CAST(n_chars AS VARCHAR) || '}')))::DOUBLE / count(*) / 1073741824::DOUBLE FROM @documents) * 0.6::DOUBLE, 6) AS best_cost
+SELECT n AS monthly_jobs, 'pay_as_you_go' AS best_plan, round(n * (SELECT sum(octet_length(encode('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"lang":"' || lang || '","source":"' || source || '","n_chars":' || CAST(n_chars AS VARCHAR) || '}')))::DOUBLE / count(*) / 1073741824::DOUBLE FROM @documents) * 0.6::DOUBLE, 6) AS best_cost
 FROM (VALUES (100), (500), (1000), (5000), (10000)) w(n)""")
 def cheapest_plans(t):
-    sizes = stats.payload_size(t["documents"], ["doc_id", "lang", "n_chars"])
+    sizes = stats.payload_size(t["documents"], ["doc_id", "text", "lang", "source", "n_chars"])
     return stats.cheapest_plans(stats.plan_costs(sizes)).withColumn("best_cost", F.round("best_cost", 6))
 
 

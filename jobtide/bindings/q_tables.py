@@ -354,16 +354,23 @@ def delete_old_children(t):
     return kids["s"].select("job_posting_id", "source")
 
 
-@query("companies_without_jobs", "S22 J10", "SELECT id, name FROM @companies WHERE id NOT IN (SELECT company_id FROM @job_postings WHERE source = 'indeed')")
+# Every company has postings in the derived tables; suppliers are companies that have none.
+_KNOWN = "SELECT id, name FROM @companies UNION ALL SELECT -s_suppkey, s_name FROM @supplier"
+
+
+def known_companies(t):
+    suppliers = t["supplier"].select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
+    return t["companies"].select("id", "name").unionByName(suppliers)
+
+
+@query("companies_without_jobs", "S22 J10", f"SELECT id, name FROM ({_KNOWN}) WHERE id NOT IN (SELECT company_id FROM @job_postings WHERE company_id IS NOT NULL)")
 def companies_without_jobs(t):
-    jobs = t["job_postings"].where("source = 'indeed'")
-    return tables.childless(t["companies"], jobs, "id", "company_id").select("id", "name")
+    return tables.childless(known_companies(t), t["job_postings"], "id", "company_id").select("id", "name")
 
 
-@query("delete_companies_without_jobs", "S22", "SELECT id, name FROM @companies WHERE id IN (SELECT company_id FROM @job_postings WHERE source = 'indeed')")
+@query("delete_companies_without_jobs", "S22", f"SELECT id, name FROM ({_KNOWN}) WHERE id IN (SELECT company_id FROM @job_postings)")
 def delete_companies_without_jobs(t):
-    jobs = t["job_postings"].where("source = 'indeed'")
-    return tables.drop_childless(t["companies"], jobs, "id", "company_id").select("id", "name")
+    return tables.drop_childless(known_companies(t), t["job_postings"], "id", "company_id").select("id", "name")
 
 
 @query("retire_or_delete_types", "S23", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .skew import spread_join
 from .tables import get_or_create, insert_ignore
 
@@ -33,7 +34,7 @@ def type_by_query(queries: DataFrame) -> DataFrame:
 
 def types_from_runs(postings: DataFrame, assignments: DataFrame, history: DataFrame, runs: DataFrame, queries: DataFrame) -> DataFrame:
     """(posting, type) for unassigned postings: the type of their first run, else that of the stored
-    query with the same words. Postings without either stay out."""
+    query with the same words. Postings without either stay out. The first runs are stored once (this runs a job)."""
     seen = first_run(history).join(unassigned(postings, assignments), "job_posting_id", "left_semi")
     r = runs.select(
         F.col("id").alias("scrape_run_id"), "job_type_id",
@@ -41,7 +42,7 @@ def types_from_runs(postings: DataFrame, assignments: DataFrame, history: DataFr
         F.lower(F.coalesce("location_query", F.lit(""))).alias("_place"),
     )
     return (
-        spread_join(seen.join(r, "scrape_run_id"), type_by_query(queries), ["_query", "_place"], "job_posting_id")
+        spread_join(cut_lineage(seen.join(r, "scrape_run_id")), type_by_query(queries), ["_query", "_place"], "job_posting_id")
         .select("job_posting_id", F.coalesce("job_type_id", "_query_type").alias("job_type_id"))
         .where(F.col("job_type_id").isNotNull())
     )

@@ -88,7 +88,12 @@ def unclassified_titles(postings: DataFrame) -> DataFrame:
 
 
 def unscored_items(dim: DataFrame) -> DataFrame:
-    return dim.where(F.col("is_active") & F.col("relevance_score").isNull()).select("id", "name")
+    return dim.where(F.col("relevance_score").isNull()).select("id", "name")
+
+
+def described(master: DataFrame) -> DataFrame:
+    """Companies with a description, the input of the consulting classifier."""
+    return master.where(F.col("bedrijfsomschrijving_en").isNotNull()).select("company_id", "bedrijfsomschrijving_en")
 
 
 def enriched_without_seat(companies: DataFrame, master: DataFrame) -> DataFrame:

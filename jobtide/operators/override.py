@@ -23,17 +23,14 @@ def active_patterns(spark, config: DataFrame | None) -> DataFrame:
 def vague_strings(rows: DataFrame, column: str, config: DataFrame | None) -> DataFrame:
     """Distinct values of ``column`` that start with an active pattern.
 
-    Written as an equi-join: each distinct string is expanded to its prefixes, so neither side is
-    broadcast and no pair of rows is tested in vain.
+    Written as an equi-join: each distinct string is expanded to its prefixes of the lengths that patterns have, so
+    neither side is broadcast and no pair of rows is tested in vain.
     """
     patterns = active_patterns(rows.sparkSession, config)
+    lengths = patterns.where(F.length("pattern") > 0).agg(F.collect_set(F.length("pattern"))).scalar()
     strings = rows.select(column).where(F.length(column) > 0).distinct()
-    prefixes = strings.select(
-        column,
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length(column)), lambda n: F.substring(F.col(column), 1, n))
-        ).alias("pattern"),
-    )
+    cuts = strings.select(column, F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length(column))
+    prefixes = cuts.select(column, F.substring(F.col(column), F.lit(1), F.col("_n")).alias("pattern"))
     return prefixes.join(patterns, "pattern", "left_semi").select(column).distinct()
 
 

@@ -60,7 +60,8 @@ def retry_plan(runs: DataFrame, as_of: AsOf, hours: int = STUCK_HOURS, max_retri
 
 def apply_retry_plan(runs: DataFrame, as_of: AsOf, hours: int = STUCK_HOURS, delay: int = RETRY_DELAY_HOURS,
                      max_retries: int = MAX_RETRIES) -> DataFrame:
-    """Runs after the plan: closed ones updated, one ``pending_retry`` run added per scheduled retry."""
+    """Runs after the plan: closed ones updated, one ``pending_retry`` run added per scheduled retry. Its id
+    is a hash of the run and the number of the retry, so planning twice names it alike."""
     now = instant(as_of)
     due = now + F.make_dt_interval(hours=F.lit(delay))
     planned = retry_plan(runs, as_of, hours, max_retries)
@@ -86,9 +87,13 @@ def apply_retry_plan(runs: DataFrame, as_of: AsOf, hours: int = STUCK_HOURS, del
             "next_retry_at": F.when(F.col("action") == "scheduled_retry", due).otherwise(F.col("next_retry_at")),
         }
     ).drop("action")
+    id_type = runs.schema["id"].dataType
+    parts = (F.lit("retry"), F.col("id").cast("string"), (tries + 1).cast("string"))
+    key = F.sha2(F.concat_ws(":", *parts), 256) if id_type.simpleString() == "string" else F.xxhash64(*parts)  # whole-number ids become long
     retries = planned.where(F.col("action") == "scheduled_retry").select(
-        F.lit(None).cast(runs.schema["id"].dataType).alias("id"),
+        key.alias("id"),
         *QUERY,
+        *[c for c in ("search_query_id", "platform") if c in runs.columns],
         F.lit("pending_retry").alias("status"),
         (tries + 1).cast(runs.schema["retry_count"].dataType).alias("retry_count"),
         F.lit(max_retries).alias("max_retries"),

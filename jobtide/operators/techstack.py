@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from .skew import spread_join
 from .tables import get_or_create, insert_ignore
 
@@ -39,8 +40,8 @@ def mentions(enrichment: DataFrame, must: str, nice: str) -> DataFrame:
 
 def process(enrichment: DataFrame, must: str, nice: str, dim: DataFrame, assigned: DataFrame, item_id: str) -> tuple[DataFrame, DataFrame]:
     """(master data, assignments) after adding the items of ``enrichment``. Only active master rows
-    match; an assignment that exists keeps its level."""
-    found = mentions(enrichment, must, nice)
+    match; an assignment that exists keeps its level. The mentions are stored once (this runs a job)."""
+    found = cut_lineage(mentions(enrichment, must, nice))
     active = dim.where("is_active")
     grown, mapping = get_or_create(
         active, found, "name", "id", {"display_name": F.col("name"), "is_active": F.lit(True)}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import location, text
 from ..functions.changes import WATCHED, differs
@@ -167,15 +167,11 @@ def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """
     watched = F.struct(*[F.col(f"posting.{f}") for f in WATCHED])
     spans = rows.groupBy("dedup_key", watched.alias("_watched")).agg(F.max("arrival").alias("_last"))
-    final = spans.groupBy("dedup_key").agg(
-        F.max("_last").alias("_end"), F.max_by("_watched", "_last").alias("_final")
-    )
-    breaks = (
-        spans.join(final.select("dedup_key", "_end"), "dedup_key")
-        .where(F.col("_last") < F.col("_end"))
-        .groupBy("dedup_key")
-        .agg(F.max("_last").alias("_break"))
-    )
+    # The last two states of each key; a task sends two rows per key to the shuffle, however often the key changed.
+    newest = F.row_number().over(W.partitionBy("dedup_key").orderBy(F.desc("_last")))
+    states = spans.withColumn("_k", newest).where("_k <= 2")
+    final = states.where("_k = 1").select("dedup_key", F.col("_watched").alias("_final"))
+    breaks = states.where("_k = 2").select("dedup_key", F.col("_last").alias("_break"))
     tail = spread_join(rows, breaks, ["dedup_key"], "arrival").where(
         F.col("_break").isNull() | (F.col("arrival") > F.col("_break"))
     )
@@ -189,7 +185,7 @@ def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
         & F.col("_old").eqNullSafe(F.col("_final"))
     )
     return (
-        first.join(final.select("dedup_key", "_final"), "dedup_key")
+        first.join(final, "dedup_key")
         .join(stored, "dedup_key", "left")
         .select("dedup_key", "_data", (~F.coalesce(unchanged, F.lit(False))).alias("_replace"))
     )

@@ -289,10 +289,8 @@ def ranking_runs(postings: DataFrame) -> DataFrame:
 
 
 def shared_positions(latest: DataFrame, limit: int = 10) -> DataFrame:
-    """The first ``limit`` positions held by several postings, with their titles joined in order.
-
-    Equal titles are counted before they are listed, so what is gathered per position is its distinct
-    titles; the repeats are written out again in the joined text."""
+    """The first ``limit`` positions held by several postings, with their distinct titles in order and how often each
+    occurs. Equal titles are counted before they are listed, so a repeated title does not lengthen the text."""
     shared = (
         latest.groupBy("ranking_position").agg(F.count("*").alias("count")).where("count > 1")
         .orderBy("ranking_position").limit(limit)
@@ -301,10 +299,10 @@ def shared_positions(latest: DataFrame, limit: int = 10) -> DataFrame:
     titles = (
         latest.join(F.broadcast(shared), "ranking_position")  # at most `limit` rows
         .groupBy("ranking_position", "count", label.alias("label"))
-        .agg(F.count("*").cast("int").alias("times"))
+        .agg(F.count("*").alias("times"))
     )
     listed = F.array_sort(F.collect_list(F.struct("label", "times")))
-    written = F.transform(listed, lambda x: F.array_join(F.array_repeat(x["label"], x["times"]), " | "))
+    written = F.transform(listed, lambda x: F.concat(x["label"], F.lit(" x"), x["times"].cast("string")))
     return titles.groupBy("ranking_position", "count").agg(F.array_join(written, " | ").alias("jobs"))
 
 

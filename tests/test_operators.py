@@ -111,11 +111,14 @@ def test_retry_plan(spark):
         {"search_query": F.lit("q"), "location_query": F.lit("l"), "next_retry_at": F.lit(None).cast("timestamp")}
     )
     out = runs.apply_retry_plan(df, NOW)
-    got = {r["id"]: r for r in out.where("id IS NOT NULL").collect()}
+    got = {r["id"]: r for r in out.where("original_run_id IS NULL").collect()}
     assert {i: r["status"] for i, r in got.items()} == {1: "running", 2: "failed", 3: "failed", 4: "completed", 5: "failed", 6: "completed", 7: "failed"}
     assert got[2]["error_message"] == "Run stuck for 3.0h - retry 1/4 scheduled"
     assert got[3]["error_message"] == "Run stuck for 3.0h - permanently failed after 4 attempts" and got[5]["error_message"] == "Run never started properly"
-    added = out.where("id IS NULL")
+    added = out.where("original_run_id IS NOT NULL")
+    keys = {r["id"] for r in added.collect()}
+    assert len(keys) == 2 and None not in keys and not keys & set(got)
+    assert keys == {r["id"] for r in runs.apply_retry_plan(df, NOW).where("original_run_id IS NOT NULL").collect()}
     assert rows(added, "original_run_id", "retry_count", "status") == [(2, 1, "pending_retry"), (7, 1, "pending_retry")]
     assert rows(runs.due_retries(out, NOW + 5 * h), "original_run_id") == [(2,), (7,)] and runs.due_retries(out, NOW).count() == 0
 
