@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, secrets, substring_dedup, token_output, toxicity
+from . import bpe_words, centroids, chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, lm_score, mixing, secrets, substring_dedup, token_output, toxicity
 from .kernels import Banding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,68 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_output.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_output.read_tokens(blocks)
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_hard_negatives", f"""
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_SOUND}
+    ), p AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), best AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+    FROM best JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY row_number() OVER w <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(F.floor(x.cast("double") * 256).cast("double"))).alias("embedding"),
+    )
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, whole=100)
+
+
+@query("op12_bpe_words")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_words.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Round r: nearest centroid of each vector (a_r) and the moved centroids (c_r)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+            SELECT r, arg_min(n, (d, n)) AS cluster, min(d) AS distance
+            FROM (SELECT r, n, CAST(list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS BIGINT) AS d FROM v, c{r}) GROUP BY r)""")
+        steps.append(f"""c{r + 1} AS (
+            SELECT n, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+                SELECT cluster, list(CAST((s - ((s % k) + k) % k) // k AS DOUBLE) ORDER BY i) AS c
+                FROM (SELECT cluster, i, sum(x) AS s, count(*) AS k FROM (
+                    SELECT cluster, unnest(range(64)) AS i, CAST(unnest(v) AS BIGINT) AS x FROM a{r} JOIN v USING (r)) GROUP BY cluster, i)
+                GROUP BY cluster) m ON m.cluster = n)""")
+    return ", ".join(steps[:-1])
+
+
+@query("op13_centroid_clusters", f"""
+    WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}
+    ), c0 AS (
+        SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS n, v AS c FROM v QUALIFY n < 16
+    ), {_rounds_sql(3)}
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+    FROM a3 JOIN v USING (r) JOIN c3 ON n = cluster""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed="1:")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
