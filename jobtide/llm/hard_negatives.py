@@ -237,7 +237,8 @@ def hard_negatives(
     scores = best.groupBy("anchor_id").agg(F.collect_set("positive_score").alias("scores"))
     right = anchors.join(scores, "anchor_id").select("*", block_of, every(n_chunks).alias("chunk"))
     far = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(negatives_of, FOUND)
-    inside = (F.lit(low) * F.col("positive_score") <= F.lit(whole) * F.col("score")) & (F.lit(whole) * F.col("score") <= F.lit(high) * F.col("positive_score"))
+    wide = lambda n, c: F.lit(n) * F.col(c).cast("decimal(20,0)")  # noqa: E731  products may leave a long
+    inside = wide(whole, "score").between(wide(low, "positive_score"), wide(high, "positive_score"))
     pairs = stored(far).join(best, "anchor_id").where(inside)
     ranked = pairs.withColumn("rank", F.row_number().over(by("anchor_id", "positive_id"))).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", F.col("row_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
