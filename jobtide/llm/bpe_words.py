@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shuffle_width
 from .common import texts
 
-CHUNK_BYTES = 32_000_000  # texts whose words share a dictionary; one longer text is a chunk of its own
-PART_WORDS = 500_000  # words written and read back at a time
-PACK_ROWS = 200_000  # dictionary entries that a task holds while it encodes
+CHUNK_BYTES = 16_000_000  # texts whose words share a dictionary; one longer text is a chunk of its own
+SPLIT_BYTES = 2_000_000  # texts split at a time
+PART_WORDS = 250_000  # words written and read back at a time
+PACK_ROWS = 300_000  # dictionary entries that a task holds while it encodes
 _MARK = "\x01"
 _TOKENIZERS: dict[str, object] = {}
 
@@ -68,13 +69,20 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def encode_words(own, words: list[str], mark: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, number of ids of each word). Words are encoded many at a time, a mark after each."""
-    texts_ = [f" {_MARK} ".join(words[i : i + 64]) + f" {_MARK}" for i in range(0, len(words), 64)]
-    ids = np.array([i for e in own.encode_batch_fast(texts_, add_special_tokens=False) for i in e.ids], np.int32)
-    stops = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else ()
-    if len(stops) != len(words):  # some word has the mark's own id: one by one
-        each = [plain_ids(own, w) for w in words]
-        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
-    return np.delete(ids, stops), np.diff(stops, prepend=-1) - 1
+    flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for row in range(0, len(words), 16_384):
+        some = words[row : row + 16_384]
+        joined = [f" {_MARK} ".join(some[i : i + 64]) + f" {_MARK}" for i in range(0, len(some), 64)]
+        ids = np.array([i for e in own.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
+        stops = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else ()
+        if len(stops) == len(some):
+            flat.append(np.delete(ids, stops))
+            sizes.append(np.diff(stops, prepend=-1) - 1)
+        else:  # some word has the mark's own id: one by one
+            each = [plain_ids(own, w) for w in some]
+            flat.append(np.array([i for x in each for i in x], np.int32))
+            sizes.append(np.array([len(x) for x in each], np.int64))
+    return np.concatenate(flat), np.concatenate(sizes)
 
 
 def _spread(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,25 +111,37 @@ def _from_planes(data: bytes, n: int) -> np.ndarray:
 CHUNKS = "key long, chunk long, part int, doc_ids array<long>, counts array<int>, n int, codes binary, size int, words binary"
 
 
+def _slices(column: pa.ChunkedArray) -> Iterator[pa.Array]:
+    """The texts, about SPLIT_BYTES at a time."""
+    for array in column.chunks:
+        ends = np.cumsum(pc.binary_length(array).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < len(array):
+            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SPLIT_BYTES, "right")))
+            yield array.slice(row, to - row)
+            row = to
+
+
 def _chunk_rows(column: pa.ChunkedArray, docs: list[int | None], name: bytes, buckets: int) -> Iterator[dict]:
-    split = pc.ascii_split_whitespace(column.cast(pa.large_string())).combine_chunks()
-    if isinstance(split, pa.ChunkedArray):
-        split = pa.concat_arrays(split.chunks)
-    flat = split.flatten()
-    edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False).astype(bool) if len(flat) else np.zeros(0, bool)
-    counts = np.diff(np.concatenate([[0], np.cumsum(real)])[edges])
-    if not real.all():
-        flat = flat.filter(pa.array(real))
-    coded = flat.dictionary_encode()
-    index, words = coded.indices.to_numpy(), coded.dictionary
-    del flat, split, coded
+    flats, counts = [], []
+    for some in _slices(column):
+        split = pc.ascii_split_whitespace(some)
+        flat = split.flatten()
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
+        real = pc.greater(pc.binary_length(flat), 0)
+        counts.append(np.diff(np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False).astype(bool))])[edges]))
+        flats.append(flat.filter(real))
+    counts = np.concatenate(counts)
+    coded = [c for c in pa.chunked_array(flats, pa.string()).dictionary_encode().unify_dictionaries().chunks if len(c)]
+    index = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded)])
+    words = coded[0].dictionary if coded else pa.array([], pa.string())
+    del flats, flat, split, coded
     # The more frequent, the smaller the number.
     order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
-    number = np.empty(len(words), np.int64)
-    number[order] = np.arange(len(words))
+    number = np.empty(len(words), np.int32)
+    number[order] = np.arange(len(words), dtype=np.int32)
     codes = number[index]
-    listed = words.cast(pa.large_binary()).to_pylist()
+    listed = words.cast(pa.binary()).to_pylist()
     digest = hashlib.blake2b(name, digest_size=8)
     for w in listed:
         digest.update(w + b"\n")
@@ -168,6 +188,8 @@ def chunks(docs: DataFrame, buckets: int) -> DataFrame:
                     out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, _CHUNK_SCHEMA)
+            del given, out
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -195,7 +217,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["chunk"])), pa.array(codes, pa.int32()), pa.array(words, pa.binary()).cast(pa.string())], ["chunk", "code", "word"])
 
 
-PACKS = "key long, codes array<int>, ids array<array<int>>"
+# n entries of one chunk's dictionary: their numbers, how many ids each has, and the n_ids ids; used: these ids, each once.
+PACKS = "key long, n int, codes binary, sizes binary, n_ids int, ids binary, used array<int>"
+_PACK_SCHEMA = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("sizes", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
 
 
 def _encode(path: str):
@@ -219,11 +243,13 @@ def _encode(path: str):
             chunk = given.column("chunk").to_numpy()
             order = np.argsort(chunk, kind="stable")
             ids, counts = _spread(flat, sizes, coded.indices.to_numpy()[order])
-            heads = np.flatnonzero(np.diff(chunk[order], prepend=-1))
-            edges = pa.array(np.append(heads, len(order)), pa.int32())
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-            codes = pa.array(given.column("code").to_numpy()[order], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(chunk[order][heads]), pa.ListArray.from_arrays(edges, codes), pa.ListArray.from_arrays(edges, inner)], ["key", "codes", "ids"])
+            edges = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
+            ends, codes = np.concatenate([[0], np.cumsum(counts)]), given.column("code").to_numpy()[order]
+            out = []
+            for a, z in zip(edges, edges[1:]):
+                some = ids[ends[a] : ends[z]]
+                out.append(dict(key=int(chunk[order[a]]), n=int(z - a), codes=_planes(codes[a:z]), sizes=_planes(counts[a:z]), n_ids=len(some), ids=_planes(some), used=np.unique(some).tolist()))
+            return pa.RecordBatch.from_pylist(out, _PACK_SCHEMA)
 
         held, rows = [], 0
         for batch in batches:
@@ -235,37 +261,42 @@ def _encode(path: str):
                 held, rows = [], 0
         if held:
             yield packed(held)
+        pa.default_memory_pool().release_unused()
 
     return encode
 
 
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Documents of one chunk: their numbers (``left``) replaced by the ids, and the ids by the pieces, of ``right`` (code, place, id, piece)."""
+    """Documents of one chunk: their numbers (``left``) replaced by the ids of the packs, and the ids by the pieces joined to them (``right``)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
     if not left.num_rows or left.column("key")[0].as_py() < 0:
         return schema.empty_table()
     size = left.column("size")[0].as_py()
-    code, place = right.column("code").to_numpy().astype(np.int64), right.column("place").to_numpy(zero_copy_only=False)
-    real = ~np.isnan(place) if place.dtype.kind == "f" else np.ones(len(place), bool)
-    if len(np.unique(code)) != size:
+    packs = right.filter(pc.is_valid(right.column("n"))).to_pylist()
+    codes = np.concatenate([np.zeros(0, np.int64), *(_from_planes(r["codes"], r["n"]) for r in packs)])
+    own = np.concatenate([np.zeros(0, np.int64), *(_from_planes(r["sizes"], r["n"]) for r in packs)])
+    ids = np.concatenate([np.zeros(0, np.int64), *(_from_planes(r["ids"], r["n_ids"]) for r in packs)])
+    if len(codes) != size:
         raise RuntimeError("words of a chunk are missing: the input gave other rows when it was read again")
-    order = np.lexsort((place[real], code[real]))
-    flat = right.column("id").to_numpy(zero_copy_only=False)[real][order].astype(np.int32)
-    sizes = np.bincount(code[real], minlength=size)
-    # A piece per id of the chunk, as the join gave it.
-    used, first, index = np.unique(flat, return_index=True, return_inverse=True)
-    joined = right.column("piece").combine_chunks()
-    joined = pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
-    piece = joined.cast(pa.large_string()).take(pa.array(np.flatnonzero(real)[order][first]))
+    by_code = np.argsort(codes)
+    flat, sizes = _spread(ids, own, by_code)
+    # One piece per id, as the join gave it.
+    joined = right.select(["id", "piece"]).filter(pc.is_valid(right.column("piece"))).combine_chunks()
+    used, first = np.unique(joined.column("id").to_numpy(), return_index=True)
+    piece = joined.column("piece").take(pa.array(first)).cast(pa.large_string()).combine_chunks()
+    piece = piece.chunk(0) if isinstance(piece, pa.ChunkedArray) else piece
+    index = np.searchsorted(used, flat).astype(np.int32)
+    del right, joined, ids, flat, packs
     out = []
     for row in sorted(left.drop_columns(["words"]).to_pylist(), key=lambda r: r["part"]):
         at, own = _spread(index, sizes, _from_planes(row["codes"], row["n"]))
         counts = np.array(row["counts"], np.int64)
         ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
         words = pa.LargeListArray.from_arrays(pa.array(ends), piece.take(pa.array(at)))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(used[at], pa.int32()))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(used[at], pa.int32()))
         decoded = pc.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.string())
-        out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(ends)), ids, decoded], schema=schema))
+        out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(ends)), listed, decoded], schema=schema))
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_batches(out, schema)
 
 
@@ -284,8 +315,12 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     parts = chunks(texts(docs, id_col, text_col), 4 * width).repartition(width, "key")
     entries = parts.mapInArrow(_entries, "chunk long, code int, word string")
     packs = entries.sortWithinPartitions("word").mapInArrow(_encode(path), PACKS).repartition(width, "key")
-    coded = packs.select("key", F.inline(F.arrays_zip("codes", "ids"))).select("key", F.col("codes").alias("code"), F.posexplode_outer("ids").alias("place", "id"))
+    # A pack, and each id that it uses, in rows of their own.
+    pack = [F.col(c) for c in ("n", "codes", "sizes", "n_ids", "ids")]
+    empty = [F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in ("n", "codes", "sizes", "n_ids", "ids")]
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("id"), *pack))
+    rows = packs.select("key", F.inline(F.concat(whole, F.transform("used", lambda x: F.struct(x.alias("id"), *empty)))))
     table = pieces(spark, path).toDF("piece_id", "piece")
-    known = coded.join(F.broadcast(table), F.col("id") == F.col("piece_id"), "left").select("key", "code", "place", "id", "piece")
+    known = rows.join(F.broadcast(table), F.col("id") == F.col("piece_id"), "left").drop("piece_id")
     schema = "doc_id long, n_tokens long, ids array<int>, decoded string"
     return parts.groupBy("key").cogroup(known.groupBy("key")).applyInArrow(_assemble, schema)
