@@ -28,7 +28,7 @@ from .common import texts
 CHUNK_BYTES = 16_000_000  # texts whose words share a dictionary; one longer text is a chunk of its own
 SPLIT_BYTES = 2_000_000  # texts split at a time
 PART_WORDS = 250_000  # words written and read back at a time
-PACK_ROWS = 300_000  # dictionary entries that a task holds while it encodes
+PACK_ROWS = 1_000_000  # dictionary entries that a task holds while it encodes (about 100 bytes each)
 _MARK = "\x01"
 _TOKENIZERS: dict[str, object] = {}
 
