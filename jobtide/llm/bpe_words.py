@@ -272,7 +272,7 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or left.column("key")[0].as_py() < 0:
         return schema.empty_table()
     size = left.column("size")[0].as_py()
-    packs = right.filter(pc.is_valid(right.column("n"))).to_pylist()
+    packs = [p for r in right.filter(pc.is_valid(right.column("packs"))).column("packs").to_pylist() for p in r]
     codes = np.concatenate([np.zeros(0, np.int64), *(_from_planes(r["codes"], r["n"]) for r in packs)])
     own = np.concatenate([np.zeros(0, np.int64), *(_from_planes(r["sizes"], r["n"]) for r in packs)])
     ids = np.concatenate([np.zeros(0, np.int64), *(_from_planes(r["ids"], r["n_ids"]) for r in packs)])
@@ -315,11 +315,12 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     parts = chunks(texts(docs, id_col, text_col), 4 * width).repartition(width, "key")
     entries = parts.mapInArrow(_entries, "chunk long, code int, word string")
     packs = entries.sortWithinPartitions("word").mapInArrow(_encode(path), PACKS).repartition(width, "key")
-    # A pack, and each id that it uses, in rows of their own.
-    pack = [F.col(c) for c in ("n", "codes", "sizes", "n_ids", "ids")]
-    empty = [F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in ("n", "codes", "sizes", "n_ids", "ids")]
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("id"), *pack))
-    rows = packs.select("key", F.inline(F.concat(whole, F.transform("used", lambda x: F.struct(x.alias("id"), *empty)))))
+    # The packs of a chunk, and each id that they use, in rows of their own; both are bounded by the chunk's dictionary.
+    pack = F.struct("n", "codes", "sizes", "n_ids", "ids")
+    dictionary = packs.groupBy("key").agg(F.collect_list(pack).alias("packs"), F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("id"), F.col("packs").alias("packs")))
+    each = F.transform("used", lambda x: F.struct(x.alias("id"), F.lit(None).cast(dictionary.schema["packs"].dataType).alias("packs")))
+    rows = dictionary.select("key", F.inline(F.concat(whole, each)))
     table = pieces(spark, path).toDF("piece_id", "piece")
     known = rows.join(F.broadcast(table), F.col("id") == F.col("piece_id"), "left").drop("piece_id")
     schema = "doc_id long, n_tokens long, ids array<int>, decoded string"

@@ -69,7 +69,7 @@ def test_an_input_that_changes_between_reads_is_an_error():
     import pyarrow as pa
 
     left = pa.Table.from_pylist([dict(key=5, chunk=5, part=0, doc_ids=[1], counts=[1], n=1, codes=bpe_words._planes(__import__("numpy").array([0])), size=1, words=None)], bpe_words._CHUNK_SCHEMA)
-    columns = {"key": pa.int64(), "id": pa.int32(), "n": pa.int32(), "codes": pa.binary(), "sizes": pa.binary(), "n_ids": pa.int32(), "ids": pa.binary(), "piece": pa.string()}
-    right = pa.table({c: pa.array([], t) for c, t in columns.items()})
+    pack = pa.struct([("n", pa.int32()), ("codes", pa.binary()), ("sizes", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
+    right = pa.table({c: pa.array([], t) for c, t in {"key": pa.int64(), "id": pa.int32(), "packs": pa.list_(pack), "piece": pa.string()}.items()})
     with pytest.raises(RuntimeError):
         bpe_words._assemble(left, right)
