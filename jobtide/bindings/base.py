@@ -145,7 +145,7 @@ FROM @documents
 DERIVED["job_posters"] = """
 SELECT conv_id * 100 + turn AS id, conv_id AS job_posting_id, role || ' ' || CAST(turn AS STRING) AS name,
   CASE WHEN turn % 2 = 0 THEN 'Recruiter' END AS title
-FROM @conversations WHERE role = 'user'
+FROM @conversations
 """
 
 DERIVED["llm_enrichment"] = """
@@ -243,7 +243,7 @@ FROM @part
 DERIVED["ecosystems"] = """
 SELECT p_partkey AS id, p_brand || '-' || CAST(p_partkey AS STRING) AS name, upper(p_brand) AS display_name, p_type AS category,
   p_size % 7 <> 0 AS is_active, CASE WHEN p_size % 3 <> 0 THEN CAST(p_partkey * 11 % 101 AS INT) END AS relevance_score
-FROM @part WHERE p_size >= 20
+FROM @part
 """
 
 DERIVED["job_programming_languages"] = """
@@ -255,7 +255,7 @@ FROM @lineitem GROUP BY 1, 2
 DERIVED["job_ecosystems"] = """
 SELECT l_orderkey AS job_posting_id, l_partkey AS ecosystem_id,
   min(CASE WHEN l_linestatus = 'O' THEN 'must_have' ELSE 'nice_to_have' END) AS requirement_level
-FROM @lineitem WHERE l_discount >= 0.05 GROUP BY 1, 2
+FROM @lineitem GROUP BY 1, 2
 """
 
 DERIVED["linkedin_raw"] = """
@@ -338,7 +338,7 @@ SELECT o_orderkey AS job_posting_id,
    WHEN 1 THEN '{"data_role_type":"Data Engineer","role_level":["Technical","Lead"],"seniority":["Senior"],"contract":[],"sourcing_type":"Direct","summary_short":"Short","summary_long":"Long ' || CAST(o_orderkey AS STRING) || '","must_have_languages":["Python","SQL"],"labels":{"nl":{"seniority":["Senior"]}},"perk_company_car":"yes"}'
    WHEN 2 THEN '{"data_role_type":"Data Analyst","summary_short_nl":"Kort","must_have_ecosystems":["Azure"],"labels":{}}'
    ELSE '{"sourcing_type":"Agency","remote_work_policy":"hybrid"}' END AS payload
-FROM @orders WHERE o_orderstatus = 'F'
+FROM @orders
 """
 
 DERIVED["company_results"] = """
@@ -348,13 +348,13 @@ SELECT c_custkey AS company_id,
    WHEN 1 THEN '{"maturity":{"category_en":"SME","category_fr":"PME","confidence":0.75},"bedrijfswebsite":"https://old.example","locatie_belgie":"Brugge"}'
    WHEN 2 THEN '{"category":{"en":"Corporate","nl":"Corporate"},"website":"","bedrijfswebsite":"https://b.example","employee_count_range":"51-200"}'
    ELSE '{"category_en":"Startup","sector_en":"IT","email_hr":"hr"}' END AS payload
-FROM @customer WHERE c_mktsegment <> 'FURNITURE'
+FROM @customer
 """
 
 DERIVED["location_results"] = """
 SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN '{"timezone":"Europe/Brussels","subdivision_name":"East Flanders","city_name_fr":null}'
    ELSE '{"city_name_en":"Ghent","country_name_nl":"België"}' END AS payload
-FROM @supplier WHERE s_acctbal >= 2000
+FROM @supplier
 """
 
 DERIVED["size_results"] = """
@@ -363,12 +363,12 @@ SELECT 1000000 + c_custkey AS id, CASE c_custkey % 5
    WHEN 1 THEN '{"category":"huge","confidence":0.5,"summary":{"en":"x"}}'
    WHEN 2 THEN '{"category":"sme","confidence":0.25}' WHEN 3 THEN ''
    ELSE '{"category":"government","confidence":"0.75","summary":{"fr":"etat"}}' END AS payload
-FROM @customer WHERE c_acctbal >= 4000
+FROM @customer
 """
 
 DERIVED["title_answers"] = """
 SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Data' WHEN 1 THEN ' NIS ' WHEN 2 THEN 'data' WHEN 3 THEN 'Other' ELSE 'Data' END AS answer
-FROM @orders WHERE o_orderstatus = 'O'
+FROM @orders
 """
 
 _REF = re.compile(r"@(\w+)")

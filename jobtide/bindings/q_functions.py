@@ -92,9 +92,9 @@ def page_urls(t):
 
 
 @query("industry_lists", "T10", f"""
-SELECT arrival, array_to_string(list_filter([{sql_strip('x')} for x in string_split(job_industries, ',')], lambda i: i <> ''), '|') AS industries FROM @linkedin_raw WHERE job_industries IS NOT NULL""")
+SELECT arrival, array_to_string(list_filter([{sql_strip('x')} for x in string_split(job_industries, ',')], lambda i: i <> ''), '|') AS industries FROM @linkedin_raw""")
 def industry_lists(t):
-    return t["linkedin_raw"].where("job_industries IS NOT NULL").select("arrival", text.split_list(F.col("job_industries")).alias("industries"))
+    return t["linkedin_raw"].select("arrival", text.split_list(F.col("job_industries")).alias("industries"))
 
 
 @query("preferred_address", "T13", """

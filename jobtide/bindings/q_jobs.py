@@ -65,9 +65,9 @@ def stored_tables(t):
     def as_text(df, *columns):
         return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
-    companies = as_text(t["companies"].where("industry IS NULL OR industry <> 'MACHINERY'"), "id")
+    companies = as_text(t["companies"], "id")
     names = companies.select(F.col("id").alias("company_id"), "name")
-    postings = as_text(t["job_postings"].where("created_at < '1998-06-01'"), "id", "company_id", "location_id", "location_id_override")
+    postings = as_text(t["job_postings"], "id", "company_id", "location_id", "location_id_override")
     postings = postings.join(names, "company_id").withColumn("dedup_key", text.dedup_key(F.col("title"), F.col("name"))).drop("name")
     kept = postings.select(F.col("id").alias("job_posting_id"))
 
@@ -98,8 +98,8 @@ def ingested(t):
 
 # One row per valid record with the company it resolves to and its dedup key.
 INGEST = f"""
-st_c AS (SELECT * FROM @companies WHERE industry IS NULL OR industry <> 'MACHINERY'),
-st_p AS (SELECT p.id, p.created_at, {sql_key('p.title', 'c.name')} AS dedup_key, c.name FROM @job_postings p JOIN st_c c ON c.id = p.company_id WHERE p.created_at < '1998-06-01'),
+st_c AS (SELECT * FROM @companies),
+st_p AS (SELECT p.id, p.created_at, {sql_key('p.title', 'c.name')} AS dedup_key, c.name FROM @job_postings p JOIN st_c c ON c.id = p.company_id),
 old AS (SELECT dedup_key, arg_min(id, (created_at, CAST(id AS VARCHAR))) AS id FROM st_p GROUP BY 1),
 v AS (SELECT * FROM @linkedin_raw WHERE error IS NULL AND job_posting_id IS NOT NULL AND job_title IS NOT NULL AND coalesce(url, job_url) IS NOT NULL),
 k AS (SELECT v.*, {sql_key('job_title', "CASE WHEN v.company_id IS NOT NULL THEN coalesce(i.name, v.company_name) ELSE v.company_name END")} AS dedup_key
