@@ -372,8 +372,10 @@ def _folder(t, name):
 @query("stream_seen_ranges", "R3", f"SELECT user_id, event_type, {ts('min(ts)', 'first_seen_at')}, {ts('max(ts)', 'last_seen_at')} FROM @events GROUP BY 1, 2")
 def stream_seen_ranges(t):
     root = _folder(t, "seen")
-    sightings.keep_seen_table(_events(t), ["user_id", "event_type"], "ts", f"{root}/table", f"{root}/checkpoint")
-    return tables.read_version(t.spark, f"{root}/table")
+    keys = ["user_id", "event_type"]
+    store = sightings.seen_store(t.spark, f"{root}/store", keys, t["events"].schema, 16)
+    sightings.keep_seen_table(_events(t), keys, "ts", store, f"{root}/checkpoint")
+    return store["seen"]
 
 
 @query("stream_distinct_sightings", "R2", "SELECT DISTINCT user_id, event_type FROM @events")
@@ -421,19 +423,22 @@ def stream_activity_sessions(t):
     return sightings.run_to_table(spans, f"{root}/table", f"{root}/checkpoint")
 
 
-@query("stream_ingest_landed", "R1 S1 C1", f"""
-SELECT DISTINCT sha256({sql_key('job_title', 'company_name')}) AS id, {sql_key('job_title', 'company_name')} AS dedup_key, 'linkedin' AS source
-FROM @linkedin_raw WHERE error IS NULL AND job_posting_id IS NOT NULL AND job_title IS NOT NULL AND coalesce(url, job_url) IS NOT NULL""")
+@query("stream_ingest_landed", "R1 S1 S13 C1", f"""
+WITH {INGEST.strip()},
+w AS (SELECT coalesce(CAST(old_id AS VARCHAR), sha256(dedup_key)) AS id, 1 AS seen FROM n GROUP BY 1)
+SELECT CAST(p.id AS VARCHAR) AS id, p.is_active OR p.needs_ranking OR w.id IS NOT NULL AS needs_ranking, w.id IS NOT NULL AS seen FROM @job_postings p LEFT JOIN w ON w.id = CAST(p.id AS VARCHAR)
+UNION ALL SELECT DISTINCT sha256(dedup_key), TRUE, TRUE FROM n WHERE old_id IS NULL""")
 def stream_ingest_landed(t):
-    """Postings landed as JSON files, read as a stream and merged into empty tables."""
-    from ..operators.tables import read_commit, write_commit
-    from ..streaming.ingest import ingest_landed
+    """Postings landed as JSON files, read as a stream of several micro-batches and merged into the filled tables."""
+    from ..streaming import ingest as stream
     from .q_tables import linkedin_records
 
     root = _folder(t, "landed")
-    empty = {n: df.limit(0) for n, df in stored_tables(t).items()}
-    write_commit(t.spark, empty, f"{root}/tables", "start")
+    store = stream.posting_store(t.spark, f"{root}/store", 16)
+    stream.fill_store(store, stored_tables(t))
     landing = linkedin_records(t).drop("arrival", "poster_name").withColumn("job_posted_date", F.col("job_posted_date").cast("string"))
-    landing.write.json(f"{root}/landing")
-    ingest_landed(t.spark, f"{root}/landing", "linkedin", f"{root}/tables", f"{root}/checkpoint", JOBS_AS_OF, lines=True)
-    return read_commit(t.spark, f"{root}/tables")["job_postings"].select("id", "dedup_key", "source")
+    landing.repartition(4).write.json(f"{root}/landing")
+    stream.ingest_landed(t.spark, f"{root}/landing", "linkedin", store, f"{root}/checkpoint", JOBS_AS_OF, lines=True, files_per_batch=2)
+    seen = store["job_scrape_history"].where("scrape_run_id LIKE 'linkedin-%'").select(F.col("job_posting_id").alias("id")).distinct()
+    postings = stream.current_postings(store).select("id", "needs_ranking")
+    return postings.join(seen.withColumn("seen", F.lit(True)), "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))

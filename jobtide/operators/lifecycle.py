@@ -133,6 +133,14 @@ def mark_for_reranking(old: DataFrame, new: DataFrame) -> DataFrame:
     ).select(*new.columns)
 
 
+def apply_ranking_requests(postings: DataFrame, requests: DataFrame) -> DataFrame:
+    """``needs_ranking`` set on every active posting that was not ranked since the last request (requested_at). A batch that asks for a
+    new ranking of all postings so adds one row instead of rewriting them all."""
+    last = requests.agg(F.max("requested_at")).scalar()
+    open_ = F.col("is_active") & last.isNotNull() & F.coalesce(F.col("ranking_updated_at") <= last, F.lit(True))
+    return update_where(postings, open_, {"needs_ranking": True})
+
+
 def mark_all_active(postings: DataFrame) -> DataFrame:
     return update_where(postings, F.col("is_active"), {"needs_ranking": True})
 

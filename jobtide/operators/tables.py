@@ -1,14 +1,14 @@
 """Table mutation as pure functions: (old table, change) -> new table.
 
-Plain Parquet has no in-place update, so each operator returns the full next version, and
-:func:`write_version` stores it beside the old one before the pointer moves.
+Plain Parquet has no in-place update, so each operator returns the full next table. Tables that grow by batches are in
+module ``growing``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def lookup(df: DataFrame, column: str, value) -> DataFrame:
@@ -177,87 +177,3 @@ def append_history(history: DataFrame, seen: DataFrame, detected_at: Column) ->
     rows = seen.select("job_posting_id", "scrape_run_id").withColumn("detected_at", detected_at)
     return history.unionByName(rows, allowMissingColumns=True)
 
-
-# --- versioned storage -------------------------------------------------------------------------
-
-
-def _paths(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def current_version(spark: SparkSession, root: str) -> int:
-    """Number of the newest finished version below ``root`` (0 when there is none)."""
-    _, path, fs = _paths(spark, root)
-    if not fs.exists(path):
-        return 0
-    done = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit():
-            marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if fs.exists(marker):
-                done.append(int(name[1:]))
-    return max(done, default=0)
-
-
-def write_version(df: DataFrame, root: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Write the next version; readers see it only once Spark has set its success marker."""
-    version = current_version(df.sparkSession, root) + 1
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/v{version:06d}")
-    return version
-
-
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    number = version or current_version(spark, root)
-    if not number:
-        raise FileNotFoundError(f"no finished version below {root}")
-    return spark.read.parquet(f"{root}/v{number:06d}")
-
-
-# --- several tables committed together ---------------------------------------------------------
-
-_MARKER = "_COMMITTED_"
-
-
-def _commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """(number, tag) of the finished commits below ``root``, oldest first."""
-    _, path, fs = _paths(spark, root)
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if not (name.startswith("c") and name[1:].isdigit()):
-            continue
-        for inner in fs.listStatus(status.getPath()):
-            marker = inner.getPath().getName()
-            if marker.startswith(_MARKER):
-                found.append((int(name[1:]), marker[len(_MARKER):]))
-    return sorted(found)
-
-
-def last_commit(spark: SparkSession, root: str) -> tuple[int, str]:
-    """Number and tag of the newest commit; (0, '') when there is none."""
-    return max(_commits(spark, root), default=(0, ""))
-
-
-def write_commit(spark: SparkSession, frames: Mapping[str, DataFrame], root: str, tag: str) -> int:
-    """Write the next version of all tables; the marker with ``tag`` makes them visible together."""
-    number = last_commit(spark, root)[0] + 1
-    for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{root}/c{number:06d}/{name}")
-    jvm, _, fs = _paths(spark, root)
-    fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/c{number:06d}/{_MARKER}{tag}"), True).close()
-    return number
-
-
-def read_commit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of the newest commit by name."""
-    number, _ = last_commit(spark, root)
-    if not number:
-        raise FileNotFoundError(f"no commit below {root}")
-    _, path, fs = _paths(spark, f"{root}/c{number:06d}")
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-    return {n: spark.read.parquet(f"{root}/c{number:06d}/{n}") for n in names}

@@ -37,6 +37,8 @@ KEPT_ON_UPDATE = {"linkedin": ("source", "indeed_job_id"), "indeed": ()}
 class IngestResult:
     tables: dict[str, DataFrame]
     results: DataFrame  # one row per raw record: arrival, status, job_id, error, has_changes
+    added: dict[str, DataFrame]  # of the tables that only gain rows, the new ones
+    asks_ranking: DataFrame  # requested_at: one row if all active postings have to be ranked again
 
 
 def ingest_items(items: DataFrame, source: str, run_id: str, tables: Mapping[str, DataFrame], as_of: AsOf) -> IngestResult:
@@ -48,7 +50,13 @@ def ingest_items(items: DataFrame, source: str, run_id: str, tables: Mapping[str
         "arrival", F.lit("error").alias("status"), F.lit(None).cast("string").alias("job_id"),
         F.col("record_error").alias("error"), F.lit(None).cast("boolean").alias("has_changes"),
     )
-    return IngestResult(result.tables, result.results.unionByName(errors))
+    return IngestResult(result.tables, result.results.unionByName(errors), result.added, result.asks_ranking)
+
+
+def _part(tables: Mapping[str, DataFrame], name: str, keys: DataFrame) -> DataFrame:
+    """The stored rows that can have one of ``keys``: of growing tables only the buckets these fall into."""
+    part = getattr(tables, "part", None)
+    return part(name, keys) if part else tables[name]
 
 
 def resolve_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
@@ -100,15 +108,14 @@ def resolve_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
-def with_new_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
-    """Stored companies plus one row per new one, from the first record that named it."""
-    fresh = (
+def new_companies(rows: DataFrame) -> DataFrame:
+    """One row per new company, from the first record that named it."""
+    return (
         rows.where("_created")
         .groupBy(F.col("company_id").alias("id"))
         .agg(F.min_by("company", "arrival").alias("c"))
         .select("id", "c.*", F.lit(False).alias("has_logo"))
     )
-    return companies.unionByName(fresh, allowMissingColumns=True)
 
 
 def place_rows(rows: DataFrame, companies: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -142,19 +149,18 @@ def place_rows(rows: DataFrame, companies: DataFrame, tables: Mapping[str, DataF
     return placed.withColumn("location_id_override", F.when(F.col("_vague"), F.col("_seat_id"))).drop("_vague", "_seat_id")
 
 
-def with_new_locations(rows: DataFrame, locations: DataFrame) -> DataFrame:
-    """Stored locations plus those that :func:`place_rows` named and that are not stored."""
+def new_locations(rows: DataFrame, locations: DataFrame) -> DataFrame:
+    """The locations that :func:`place_rows` named and that are not stored."""
     own = rows.select("full_location_string", F.col("location_id").alias("id"))
     seats = rows.where(F.col("location_id_override").isNotNull()).select(
         F.col("_seat").alias("full_location_string"), F.col("location_id_override").alias("id")
     )
     columns = location.location_columns(F.col("full_location_string"))
-    fresh = (
+    return (
         own.unionByName(seats).distinct()
         .join(locations.select("full_location_string"), "full_location_string", "left_anti")
         .select("id", *[v.alias(k) for k, v in columns.items()], F.lit(False).alias("ai_enriched"))
     )
-    return locations.unionByName(fresh, allowMissingColumns=True)
 
 
 def winning_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -207,17 +213,18 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
     now = instant(as_of)
     frozen = store_wide(rows)
     rows = cut_lineage(resolve_companies(frozen.drop("description", "poster"), tables["companies"]))
-    companies = with_new_companies(rows, tables["companies"])
+    own_companies = new_companies(rows)
+    companies = tables["companies"].unionByName(own_companies, allowMissingColumns=True)
     title = F.col("posting.title")
     rows = cut_lineage(
         place_rows(rows, companies, tables).withColumns(
             {"dedup_key": text.dedup_key(title, F.col("company_name")), "title_normalized": text.ingest_title(title)}
         )
     )
-    locations = with_new_locations(rows, tables["locations"])
+    own_locations = new_locations(rows, tables["locations"])
 
-    postings, sources = tables["job_postings"], tables["job_sources"]
     keys = rows.select("dedup_key").distinct()
+    postings = _part(tables, "job_postings", keys)
     oldest = F.struct(F.col("created_at"), F.col("id"))
     # Field types are aligned with the incoming ones, so "unchanged" compares like with like.
     incoming = {f: rows.schema["posting"].dataType[f].dataType for f in WATCHED}
@@ -228,6 +235,9 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
         .agg(F.min_by(F.struct(F.col("id").alias("id"), old_watched.alias("old")), oldest).alias("_f"))
         .select("dedup_key", F.col("_f.id").alias("_stored_id"), F.col("_f.old").alias("_old"))
     )
+    # A new posting's id is the hash of its key, a known one's is stored.
+    touched = found.select(F.col("_stored_id").alias("job_posting_id")).union(keys.select(F.sha2("dedup_key", 256)))
+    sources = _part(tables, "job_sources", touched)
     sightings = sources.where(F.col("source") == source).select(
         F.col("job_posting_id").alias("_stored_id"), F.lit(True).alias("_known_source")
     ).distinct()
@@ -309,23 +319,18 @@ def ingest_rows(rows: DataFrame, source: str, run_id: str, tables: Mapping[str,
             F.col("_replace").alias("has_changes"),
         )
     )
-    history = append_history(
-        tables["job_scrape_history"],
-        results.select(F.col("job_id").alias("job_posting_id"), F.lit(run_id).alias("scrape_run_id")),
-        now,
-    )
+    sighted = results.select(F.col("job_id").alias("job_posting_id"), F.lit(run_id).alias("scrape_run_id"))
+    added = {
+        "companies": own_companies, "locations": own_locations, "job_descriptions": descriptions, "job_posters": posters, "llm_enrichment": stubs,
+        "job_scrape_history": append_history(tables["job_scrape_history"].limit(0), sighted, now),
+    }
     return IngestResult(
         {
-            "companies": companies,
-            "locations": locations,
             "job_postings": updated.unionByName(fresh, allowMissingColumns=True),
             "job_sources": insert_ignore(bumped, new_sources, ["job_posting_id", "source"]),
-            "job_descriptions": tables["job_descriptions"].unionByName(descriptions, allowMissingColumns=True),
-            "job_posters": tables["job_posters"].unionByName(posters, allowMissingColumns=True),
-            "llm_enrichment": tables["llm_enrichment"].unionByName(stubs, allowMissingColumns=True),
-            "job_scrape_history": history,
+            **{n: tables[n].unionByName(rows, allowMissingColumns=True) for n, rows in added.items()},
         },
-        results,
+        results, added, keys.select(now.alias("requested_at")).where(any_new | any_changed).limit(1),
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators import tables
+from ..operators.growing import GrowingTables, grow
 
 
 def file_stream(spark: SparkSession, directory: str, schema, glob: str, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
@@ -60,19 +60,24 @@ def run_to_table(stream: DataFrame, out_dir: str, checkpoint: str, mode: str = "
     return stream.sparkSession.read.schema(stream.schema).parquet(out_dir)
 
 
-def keep_seen_table(events: DataFrame, keys: list[str], at: str, table_root: str, checkpoint: str) -> None:
-    """Maintain a versioned (key, first, last) table from a stream, one version per micro-batch.
+def seen_store(spark: SparkSession, root: str, keys: list[str], schema, buckets: int = 64) -> GrowingTables:
+    """An empty (key, first, last) table in key buckets; ``schema`` has the key columns."""
+    store = GrowingTables(spark, root, {"seen": tuple(keys)}, buckets)
+    own = T.StructType([schema[k] for k in keys]).add("first_seen_at", "timestamp").add("last_seen_at", "timestamp")
+    store.fill({"seen": spark.createDataFrame([], own)})
+    return store
 
-    The table records the batch that made it, so a batch repeated after a failure changes nothing:
-    merging the same sightings twice gives the same minimum and maximum.
-    """
+
+def keep_seen_table(events: DataFrame, keys: list[str], at: str, store: GrowingTables, checkpoint: str) -> None:
+    """Maintain a (key, first, last) table from a stream. A micro-batch reads and replaces only the buckets of its keys;
+    one that is repeated after a failure puts the same rows in place again."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = seen_ranges(batch, keys, at)
-        if tables.current_version(spark, table_root):
-            new = merge_seen(tables.read_version(spark, table_root), new, keys)
-        tables.write_version(new, table_root)
+        def make() -> dict[str, DataFrame]:
+            new = seen_ranges(batch, keys, at)
+            return {"seen": merge_seen(store.part("seen", new), new, keys)}
+
+        grow(store, f"batch-{batch_id}", make)
 
     (
         events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -62,24 +62,6 @@ def test_retention_keeps_children_of_kept(spark):
     assert rows(kept, "id") == [(1,), (3,)] and rows(children["k"]) == [(1,), (3,)]
 
 
-def test_versions_and_commits(spark, tmp_path):
-    root = str(tmp_path / "t")
-    assert tables.current_version(spark, root) == 0
-    tables.write_version(spark.range(3), root)
-    tables.write_version(tables.read_version(spark, root).where("id > 0"), root)
-    assert tables.current_version(spark, root) == 2 and tables.read_version(spark, root).count() == 2
-    assert tables.read_version(spark, root, 1).count() == 3
-    base = str(tmp_path / "c")
-    with pytest.raises(FileNotFoundError):
-        tables.read_commit(spark, base)
-    tables.write_commit(spark, {"a": spark.range(2), "b": spark.range(5)}, base, "one")
-    spark.range(9).write.parquet(f"{base}/c000002/a")  # an unfinished commit stays unseen
-    assert tables.last_commit(spark, base) == (1, "one")
-    assert {n: f.count() for n, f in tables.read_commit(spark, base).items()} == {"a": 2, "b": 5}
-    tables.write_commit(spark, {"a": spark.range(1)}, base, "two")
-    assert tables.last_commit(spark, base) == (2, "two") and tables.read_commit(spark, base)["a"].count() == 1
-
-
 COMPANIES = [(1, "Alpha", "48256"), (2, "Beta", "77"), (3, "Gamma", None)]
 
 
