@@ -12,7 +12,8 @@ from ..operators import lifecycle
 from ..plans import ingest
 from ..plans.views import ranking_view
 from ..session import checkpoint_root
-from ..streaming import sightings
+from ..operators.growing import grow
+from ..streaming import distinct, inactivity, sightings
 from .base import JOBS_AS_OF, RUNS_AS_OF
 from .q_functions import HOURLY, SCORED
 from .registry import JOBS_NOW, query, sql_key, sql_strip, ts
@@ -380,10 +381,14 @@ def stream_seen_ranges(t):
 
 @query("stream_distinct_sightings", "R2", "SELECT DISTINCT user_id, event_type FROM @events")
 def stream_distinct_sightings(t):
+    """Each key of the stream once; half of the keys are in the table before it starts."""
     root = _folder(t, "distinct")
     keys = ["user_id", "event_type"]
-    kept = sightings.drop_repeats(_events(t).select(*keys, "ts"), keys, "ts", "400 days")
-    return sightings.run_to_table(kept, f"{root}/table", f"{root}/checkpoint").select(*keys)
+    store = distinct.distinct_store(t.spark, f"{root}/store", keys, t["events"].schema, 16)
+    known = t["events"].where("user_id % 2 = 0")
+    grow(store, "before", lambda: distinct.first_sightings(known, store, keys, 64))
+    distinct.keep_distinct(_events(t), keys, store, f"{root}/checkpoint", 64)
+    return store["keys"]
 
 
 @query("run_window_counts", "R5", f"""
@@ -393,6 +398,27 @@ def run_window_counts(t):
     return sightings.run_window_counts(events, "ts", F.col("event_type"), "1 day").select("window_start", "status", "runs")
 
 
+@query("sliding_window_counts", "R5", f"""
+WITH d AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS p, event_type FROM @events),
+w AS (SELECT p - to_days(CAST(i AS INTEGER)) AS w, event_type FROM d, range(7) r(i))
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type AS status, count(*) AS runs FROM w GROUP BY w, event_type""")
+def sliding_window_counts(t):
+    """Runs of the last seven days, every day."""
+    return sightings.run_window_counts(t["events"].select("ts", "event_type"), "ts", F.col("event_type"), "7 days", "1 day")
+
+
+@query("stream_sliding_counts", "R5", f"""
+WITH d AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS p, event_type FROM @events),
+w AS (SELECT p - to_hours(CAST(i AS INTEGER)) AS w, event_type FROM d, range(24) r(i))
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type AS status, count(*) AS runs
+FROM w GROUP BY w, event_type HAVING w + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM @events)""")
+def stream_sliding_counts(t):
+    """Runs of the last 24 hours, every hour, from a stream."""
+    root = _folder(t, "sliding")
+    counts = sightings.run_window_counts(_events(t), "ts", F.col("event_type"), "24 hours", "1 hour")
+    return sightings.run_to_table(counts, f"{root}/table", f"{root}/checkpoint")
+
+
 @query("stream_window_counts", "R5", f"""
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type AS status, count(*) AS runs
 FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, event_type FROM @events) GROUP BY w, event_type HAVING w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM @events)""")
@@ -408,7 +434,7 @@ WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS active_from, strftime(max(ts) + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS inactive_from, count(*) AS sightings FROM g GROUP BY user_id, n""")
 def activity_sessions(t):
-    return sightings.activity_sessions(t["events"], ["user_id"], "ts", "2 days")
+    return inactivity.activity_spans(t["events"], ["user_id"], "ts", 2 * 86_400)
 
 
 @query("stream_activity_sessions", "R4", f"""
@@ -417,10 +443,22 @@ g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS active_from, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS inactive_from, count(*) AS sightings
 FROM g GROUP BY user_id, n HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM @events)""")
 def stream_activity_sessions(t):
-    """Spans of activity from a stream; a span is written once the watermark has passed its end."""
+    """Spans of activity from a stream; a span is written once a timer fires behind the watermark."""
     root = _folder(t, "sessions")
-    spans = sightings.activity_sessions(_events(t), ["user_id"], "ts", "2 hours")
-    return sightings.run_to_table(spans, f"{root}/table", f"{root}/checkpoint")
+    spans = inactivity.stream_spans(_events(t), ["user_id"], "ts", 2 * 3_600)
+    return inactivity.with_timers(t.spark, lambda: sightings.run_to_table(spans, f"{root}/table", f"{root}/checkpoint"))
+
+
+@query("stream_inactive_keys", "R4 S16", f"""
+SELECT user_id, event_type, strftime(max(ts) + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS inactive_from
+FROM @events GROUP BY 1, 2 HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM @events)""")
+def stream_inactive_keys(t):
+    """Keys not seen for two days at the end of the stream: the last span of each whose timer fired, unless a later one is open."""
+    root, keys = _folder(t, "inactive"), ["user_id", "event_type"]
+    spans = inactivity.stream_spans(_events(t), keys, "ts", 2 * 86_400)
+    ended = inactivity.with_timers(t.spark, lambda: sightings.run_to_table(spans, f"{root}/table", f"{root}/checkpoint"))
+    last = t["events"].groupBy(*keys).agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("inactive_from"))
+    return ended.join(last, [*keys, "inactive_from"], "left_semi").select(*keys, "inactive_from")
 
 
 @query("stream_ingest_landed", "R1 S1 S13 C1", f"""

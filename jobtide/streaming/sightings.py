@@ -16,11 +16,6 @@ def file_stream(spark: SparkSession, directory: str, schema, glob: str, fmt: str
     )
 
 
-def drop_repeats(events: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
-    """Repeated sightings suppressed while their key is inside the watermark."""
-    return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
-
-
 def seen_ranges(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """First and last sighting per key, map-side combined."""
     return events.groupBy(*keys).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"))
@@ -33,24 +28,16 @@ def merge_seen(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_window_counts(runs: DataFrame, at: str, status: Column, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Runs per (sliding) window and status."""
-    windowed = F.window(at, width, slide) if slide else F.window(at, width)
-    return (
+    """Runs per window and status. Sliding windows are put together from panes of one ``slide`` each: rows are counted per pane, and only the
+    counts of a pane go to the windows that hold it. ``width`` is a multiple of ``slide``."""
+    panes = (
         runs.withWatermark(at, late)
-        .groupBy(windowed.alias("w"), status.alias("status"))
+        .groupBy(F.window(at, slide or width).alias("w"), status.alias("status"))
         .agg(F.count("*").alias("runs"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "runs")
-    )
-
-
-def activity_sessions(events: DataFrame, keys: list[str], at: str, gap: str = "14 days", late: str = "1 hour") -> DataFrame:
-    """Spans of activity per key; a span ends when nothing is seen for ``gap``."""
-    return (
-        events.withWatermark(at, late)
-        .groupBy(*keys, F.session_window(at, gap).alias("w"))
-        .agg(F.count("*").alias("sightings"))
-        .select(*keys, F.col("w.start").alias("active_from"), F.col("w.end").alias("inactive_from"), "sightings")
     )
+    if slide:
+        panes = panes.groupBy(F.window(F.window_time("w"), width, slide).alias("w"), "status").agg(F.sum("runs").alias("runs"))
+    return panes.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "runs")
 
 
 def run_to_table(stream: DataFrame, out_dir: str, checkpoint: str, mode: str = "append") -> DataFrame:
