@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonx, scores
 from ..functions.dates import AsOf, instant
-from .ordering import global_position, rank_in_groups, slice_by_order
+from ..session import store_wide
+from .ordering import global_position, group_key, rank_in_groups, slice_by_order
 from .tables import update_from
 
 RANK_KEYS = (
@@ -38,13 +39,22 @@ def _best_first(score: str) -> list[Column]:
     return [F.col(score).desc(), F.col("id").asc()]
 
 
+NARROW = ("id", "base_score", "title_classification")
+
+
 def diversity_ranks(scored: DataFrame) -> DataFrame:
-    """Rank by base score inside company, role type, location and seniority; ties go by id."""
+    """(NARROW, one rank per RANK_KEYS): rank by base score inside company, role type, location and seniority; ties go by id.
+
+    Only ids, scores and keys take part. They are cut into range slices once; a row then stands once per key in one table of (key, slice)
+    groups, where one window and one matrix of counts serve all four ranks.
+    """
     order = _best_first("base_score")
-    ranked = slice_by_order(scored, order)
-    for out, key in RANK_KEYS:
-        ranked = rank_in_groups(ranked, F.col(key), order, out)
-    return ranked.drop("_slice")
+    narrow = scored.select(*NARROW, *[F.col(key) for _, key in RANK_KEYS])
+    keys = F.array(*[F.struct(F.lit(i).alias("kind"), group_key(F.col(key)).alias("key")) for i, (_, key) in enumerate(RANK_KEYS)])
+    rows = slice_by_order(narrow, order).select(*NARROW, "_slice", F.inline(keys))
+    ranked = rank_in_groups(rows, F.concat_ws(":", "kind", "key"), order, "rank")
+    ranks = [F.max(F.when(F.col("kind") == i, F.col("rank"))).alias(out) for i, (out, _) in enumerate(RANK_KEYS)]
+    return ranked.groupBy("id").agg(*[F.first(c).alias(c) for c in NARROW[1:]], *ranks)
 
 
 def apply_modifiers(ranked: DataFrame, as_of: AsOf) -> DataFrame:
@@ -72,7 +82,11 @@ def final_ranks(modified: DataFrame) -> DataFrame:
 
 
 def rank_postings(view: DataFrame, as_of: AsOf) -> DataFrame:
-    return final_ranks(apply_modifiers(diversity_ranks(score_postings(view, as_of)), as_of))
+    """Scores, ranks and final order of all active postings. The scores are made once and stored; all ranks are made
+    of narrow rows, which meet the other columns in one join at the end. ``id`` is unique."""
+    scored = store_wide(score_postings(view, as_of))
+    ranked = final_ranks(apply_modifiers(diversity_ranks(scored), as_of))
+    return ranked.join(scored.drop(*NARROW[1:]), "id")
 
 
 def save_rankings(postings: DataFrame, ranked: DataFrame, as_of: AsOf) -> DataFrame:
