@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import AsOf, instant
+from ..session import cut_lineage
+from .cascade import REFERENCES, delete_cascading
 from .ordering import best_row
 from .skew import spread_join
 from .tables import insert_ignore, update_from
@@ -65,6 +67,16 @@ def merge_companies(companies: DataFrame, postings: DataFrame) -> tuple[DataFram
     return companies.join(mapping.select("id"), "id", "left_anti"), _repoint(postings, mapping), mapping
 
 
+def merge_master_rows(master: DataFrame, mapping: DataFrame, last_by: str = "id") -> DataFrame:
+    """Master data after a merge by ``mapping`` (id, keep_id). A survivor keeps its own row. One without takes over the row of its first
+    removed company (smallest id, then smallest ``last_by``); the other rows of removed companies are deleted."""
+    moved = master.join(mapping.withColumnRenamed("id", "company_id"), "company_id")
+    left = master.join(mapping.select(F.col("id").alias("company_id")), "company_id", "left_anti")
+    heirs = best_row(moved, ["keep_id"], [F.col("company_id"), F.col(last_by)])
+    heirs = heirs.withColumn("company_id", F.col("keep_id")).join(left.select("company_id"), "company_id", "left_anti")
+    return left.select(*master.columns).unionByName(heirs.select(*master.columns))
+
+
 def _repoint(postings: DataFrame, mapping: DataFrame) -> DataFrame:
     target = mapping.select(F.col("id").alias("company_id"), "keep_id")
     return postings.join(target, "company_id", "left").select(
@@ -86,9 +98,9 @@ def posting_survivors(postings: DataFrame) -> DataFrame:
 def resolve_duplicate_postings(
     postings: DataFrame, sources: DataFrame, children: Mapping[str, DataFrame], as_of: AsOf
 ) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Keep the oldest posting of each key, give it the sources it lacks, delete the others with their
-    child rows. Of several donors of one source the oldest entry wins."""
-    mapping = posting_survivors(postings)
+    """Keep the oldest posting of each key, give it the sources it lacks, delete the others with all that refers to them (any
+    tables of REFERENCES may be among ``children``). Of several donors of one source the oldest entry wins."""
+    mapping = cut_lineage(posting_survivors(postings))
     gone = mapping.select(F.col("id").alias("job_posting_id"))
     donated = (
         sources.join(mapping.withColumnRenamed("id", "job_posting_id"), "job_posting_id")
@@ -101,8 +113,8 @@ def resolve_duplicate_postings(
     merged = insert_ignore(
         left, donated, ["job_posting_id", "source"], first_by=[F.col("first_seen_at"), F.col("source_job_id")]
     )
-    kept = postings.join(mapping.select("id"), "id", "left_anti")
-    return kept, merged, {n: c.join(gone, "job_posting_id", "left_anti") for n, c in children.items()}
+    after = delete_cascading({**children, "job_postings": postings}, REFERENCES, "job_postings", mapping)
+    return after.pop("job_postings"), merged, {n: after.get(n, c) for n, c in children.items()}
 
 
 def backfill_sources(postings: DataFrame, sources: DataFrame) -> DataFrame:

@@ -258,6 +258,36 @@ def relevance_columns(answer: Column) -> dict[str, Column]:
     }
 
 
+def save_consulting(master: DataFrame, answers: DataFrame, payload: str, as_of: AsOf, last_by: list[Column] | None = None) -> DataFrame:
+    """``answers``: company_id, ``payload``; of several of a company the last by ``last_by`` counts. An answer sets the flag and, if it has one, the
+    reasoning; a failed one keeps both and leaves its error, which the next answer clears."""
+    order = {f"_by{i}": c for i, c in enumerate(last_by or [])}
+    new = answers.select("company_id", *[v.alias(c) for c, v in consulting_columns(F.col(payload)).items()], *[c.alias(n) for n, c in order.items()])
+    kept = master.withColumns({c: F.lit(None).cast(t) for c, t in (("is_consulting", "boolean"), ("consulting_reasoning", "string")) if c not in master.columns})
+    return update_from(
+        kept, new.withColumn("at", instant(as_of)), ["company_id"],
+        {
+            "is_consulting": F.coalesce("src_is_consulting", "is_consulting"),
+            "consulting_reasoning": F.coalesce("src_consulting_reasoning", "consulting_reasoning"),
+            "consulting_error": F.col("src_consulting_error"),
+            "consulting_at": F.col("src_at"),
+        },
+        last_by=[F.col(n) for n in order] or None,
+    )
+
+
+def save_relevance(technologies: DataFrame, answers: DataFrame, last_by: list[Column] | None = None) -> DataFrame:
+    """``answers``: id, answer; of several of a technology the last by ``last_by`` counts. A valid score is stored, an invalid one
+    keeps the stored score and leaves its error."""
+    order = {f"_by{i}": c for i, c in enumerate(last_by or [])}
+    new = answers.select("id", *[v.alias(c) for c, v in relevance_columns(F.col("answer")).items()], *[c.alias(n) for n, c in order.items()])
+    return update_from(
+        technologies, new, ["id"],
+        {"relevance_score": F.coalesce("src_relevance_score", "relevance_score"), "relevance_error": F.col("src_relevance_error")},
+        last_by=[F.col(n) for n in order] or None,
+    )
+
+
 def label_sizes(master: DataFrame) -> DataFrame:
     """Fill missing size labels from the category; unknown categories change nothing."""
     columns = {}

@@ -39,25 +39,31 @@ EXPORT_COLUMNS = (
 )
 
 
+PLACE = "place"
+
+
 def field_of_header(header: str) -> str | None:
     low = header.strip().lower()
     return next((field for words, field in HEADER_RULES if all(w in low for w in words)), None)
 
 
 def read_company_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """The rows of one or more files with ``place``, their order: files by name, rows as in their file."""
     raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"')
-    return name_import_columns(raw)
+    # A file may hold line breaks in cells, so one task reads it from the start: its row numbers ascend.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return name_import_columns(raw.select(*[F.col(f"`{c}`") for c in raw.columns], place.alias(PLACE)))
 
 
 def name_import_columns(raw: DataFrame) -> DataFrame:
     """Columns renamed by the header rules; the first column is the company id, the last of several
-    headers with one meaning wins, a missing one reads as null."""
-    headers = raw.columns
+    headers with one meaning wins, a missing one reads as null. ``place``, the order of the rows, stays."""
+    headers = [c for c in raw.columns if c != PLACE]
     chosen = {field_of_header(h): h for h in headers}
     columns = {"linkedin_company_id": F.col(f"`{headers[0]}`")}
     for field in ("company_name", *IMPORT_FIELDS):
         columns[field] = F.col(f"`{chosen[field]}`") if field in chosen else F.lit(None).cast("string")
-    return raw.select(*[v.cast("string").alias(k) for k, v in columns.items()])
+    return raw.select(*[v.cast("string").alias(k) for k, v in columns.items()], *([PLACE] if PLACE in raw.columns else []))
 
 
 def classify_import(rows: DataFrame, companies: DataFrame, master: DataFrame) -> DataFrame:
@@ -67,6 +73,7 @@ def classify_import(rows: DataFrame, companies: DataFrame, master: DataFrame) ->
         "company_name",
         *[text.blank_to_null(text.strip(F.col(f))).alias(f) for f in IMPORT_FIELDS if f != "founded_year"],
         text.digits_as_int(F.col("founded_year")).alias("founded_year"),
+        *([PLACE] if PLACE in rows.columns else []),
     )
     known = companies.where(F.col("linkedin_company_id").isNotNull()).groupBy("linkedin_company_id").agg(
         F.min("id").alias("company_id")
@@ -105,11 +112,12 @@ def import_stats(classified: DataFrame) -> DataFrame:
 def apply_import(classified: DataFrame, master: DataFrame) -> DataFrame:
     """Master data after the import: filled cells overwrite, blanks do not, unknown companies are added.
 
-    Several rows for one company are merged field by field, the last filled value in text order of the
-    whole row winning, so the result does not depend on partitioning.
+    Rows of one company are applied in the order of ``place``, so of each field the last filled cell stays. Rows without a ``place`` have no order; there
+    the largest value of a field stays.
     """
     hits = classified.where(F.col("outcome").startswith("master_data"))
-    merged = hits.groupBy("company_id").agg(*[F.max(f).alias(f) for f in IMPORT_FIELDS])
+    last = {f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col(PLACE))) if PLACE in hits.columns else F.max(f) for f in IMPORT_FIELDS}
+    merged = hits.groupBy("company_id").agg(*[v.alias(f) for f, v in last.items()])
     updated = patch(_with_import_columns(master), merged, "company_id")
     return insert_ignore(updated, merged, ["company_id"])
 
