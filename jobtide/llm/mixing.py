@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.ordering import global_position
+from ..operators.ordering import global_position, rank_in_groups, slice_by_order
 from .common import WORD, stored
 
 CHUNK = 4096
@@ -192,13 +192,29 @@ def mix_sources(
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row repeated as often as ``mixed`` (of :func:`mix_sources`) takes it. Rows that agree in id,
-    source and size share their number of copies evenly, rounded down."""
-    share = mixed.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("_jt_copies"))
-    share = share.where("_jt_copies > 0").select(
-        F.col("doc_id").alias("_jt_id"), F.col("source").alias("_jt_source"), F.col("size").alias("_jt_size"), "_jt_copies"
-    )
+    """``docs`` with each row repeated as often as ``mixed`` (of :func:`mix_sources`) takes it.
+
+    Rows that agree in id, source and size share their copies: each gets the whole part of its share and the first ones, in any order, one of the
+    rest, so the copies and words taken are those decided. Null ids and sources agree with one another.
+    """
+    share = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).where("c > 0")
+    share = stored(share.select(
+        F.col("doc_id").alias("_jt_id"), F.col("source").alias("_jt_source"), F.col("size").alias("_jt_size"),
+        F.floor(F.col("c") / F.col("n")).cast("int").alias("_jt_copies"), (F.col("c") % F.col("n")).alias("_jt_rest"),
+    ))
     size = F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(WORD))
-    same = docs[id_col].eqNullSafe(share["_jt_id"]) & docs[source_col].eqNullSafe(share["_jt_source"]) & (size == share["_jt_size"])
-    joined = docs.join(share, same).withColumn("_jt_n", F.explode(F.sequence(F.lit(1), F.col("_jt_copies"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    same = lambda part: docs[id_col].eqNullSafe(part["_jt_id"]) & docs[source_col].eqNullSafe(part["_jt_source"]) & (size == part["_jt_size"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeat = lambda rows, copies: rows.withColumn("_jt_n", F.explode(F.sequence(F.lit(1), copies))).select(*columns)
+    even, uneven = share.where("_jt_rest = 0"), share.where("_jt_rest > 0")
+    out = repeat(docs.join(even, same(even)), F.col("_jt_copies"))
+    if uneven.isEmpty():
+        return out
+    # The rows of such groups are numbered; one group may hold any part of the table, so that is done by slices.
+    rows = stored(docs.join(uneven, same(uneven)).withColumn("_jt_row", F.monotonically_increasing_id()))
+    order = [F.col("_jt_row")]
+    keyed = rows.select("_jt_row", F.xxhash64("_jt_id", "_jt_source", "_jt_size", F.isnull("_jt_id"), F.isnull("_jt_source")).alias("_jt_group"))
+    placed = rank_in_groups(slice_by_order(keyed, order), F.col("_jt_group"), order, "_jt_place").select("_jt_row", "_jt_place")
+    copies = F.col("_jt_copies") + (F.col("_jt_place") <= F.col("_jt_rest")).cast("int")
+    own = rows.join(placed, "_jt_row").withColumn("_jt_copies", copies).where("_jt_copies > 0")
+    return out.union(repeat(own, F.col("_jt_copies")))

@@ -59,7 +59,28 @@ def test_mix(docs_of, monkeypatch):
     taken = {}
     for r in out.select(docs["doc_id"]).collect():
         taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
-    assert {k: v for k, v in copies.items() if v and k != 3000} == {k: v for k, v in taken.items() if k != 3000}
+    assert {k: v for k, v in copies.items() if v} == taken
+
+
+def test_every_decided_copy_is_taken(docs_of):
+    rng = np.random.default_rng(2)
+    text = lambda i: " ".join(f"w{i % 7}" for _ in range(1 + i % 5))
+    rows = [(int(i), text(i), "en", f"s{i % 3}") for i in range(300)] + [(int(rng.integers(0, 40)), text(i), "en", "s1") for i in range(400)]
+    rows += [(None, text(i) if i % 9 else None, "en", "s0" if i % 2 else None) for i in range(200)]
+    docs = docs_of(rows)
+    mixed = mixing.mix_sources(docs)
+    decided, words = mixed.agg({"copies": "sum", "taken": "sum"}).select("sum(copies)", "sum(taken)").first()
+    out = mixing.take(docs, mixed).select("doc_id", "text", "source").collect()
+    assert (len(out), sum(len((r.text or "").split()) for r in out)) == (decided, words)
+    per = {}
+    for r in out:
+        per[(r.doc_id, r.source)] = per.get((r.doc_id, r.source), 0) + 1
+    want = {}
+    for r in mixed.collect():
+        if r.copies:
+            want[(r.doc_id, r.source)] = want.get((r.doc_id, r.source), 0) + r.copies
+    assert per == want
+    assert mixing.take(docs.limit(0), mixing.mix_sources(docs.limit(0))).count() == 0
 
 
 def test_flight_keeps_both_totals_and_expectation():
