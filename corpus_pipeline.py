@@ -1,4 +1,9 @@
-"""From raw documents to token blocks: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to token blocks: five stages, each written as Parquet and read again by the next.
+
+A stage decides by doc_id: rows that share an id go or stay together. Rows with a null id are judged by no filter and stay until the mix, which
+takes them like all others. A null text counts as empty: not toxic, no copy of anything, no benchmark holder, no words to take. Ties are
+broken by the smaller id. Further columns are kept whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from jobtide.llm.toxicity import toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not call toxic."""
+    """Documents that the classifier chain does not call toxic. An id goes if one of its rows is toxic."""
     judged = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drop_rows(docs, judged.where("toxic").select("doc_id"))
 
@@ -26,13 +31,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. An id goes if one of its rows holds one."""
     held = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return drop_rows(docs, held.select("doc_id").distinct())
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, not at all where that is zero; repeated rows are documents of their own."""
     return take(docs, mix_sources(docs))
 
 
