@@ -92,7 +92,7 @@ def page_urls(t):
 
 
 @query("industry_lists", "T10", f"""
-SELECT arrival, array_to_string(list_filter([{sql_strip('x')} for x in string_split(job_industries, ',')], lambda i: i <> ''), '|') AS industries FROM @linkedin_raw""")
+SELECT arrival, array_to_string(list_filter([{sql_strip('x')} for x in string_split(coalesce(job_industries, ''), ',')], lambda i: i <> ''), '|') AS industries FROM @linkedin_raw""")
 def industry_lists(t):
     return t["linkedin_raw"].select("arrival", text.split_list(F.col("job_industries")).alias("industries"))
 
