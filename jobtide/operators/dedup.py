@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import AsOf, instant
 from ..session import cut_lineage
-from .cascade import REFERENCES, delete_cascading
+from .cascade import REFERENCES, Reference, delete_cascading
 from .ordering import best_row
 from .skew import spread_join
 from .tables import insert_ignore, update_from
@@ -98,8 +98,8 @@ def posting_survivors(postings: DataFrame) -> DataFrame:
 def resolve_duplicate_postings(
     postings: DataFrame, sources: DataFrame, children: Mapping[str, DataFrame], as_of: AsOf
 ) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Keep the oldest posting of each key, give it the sources it lacks, delete the others with all that refers to them (any
-    tables of REFERENCES may be among ``children``). Of several donors of one source the oldest entry wins."""
+    """Keep the oldest posting of each key, give it the sources it lacks, delete the others with all that refers to them: ``children``
+    may be any tables of REFERENCES, and others with a ``job_posting_id``. Of several donors of one source the oldest entry wins."""
     mapping = cut_lineage(posting_survivors(postings))
     gone = mapping.select(F.col("id").alias("job_posting_id"))
     donated = (
@@ -113,7 +113,9 @@ def resolve_duplicate_postings(
     merged = insert_ignore(
         left, donated, ["job_posting_id", "source"], first_by=[F.col("first_seen_at"), F.col("source_job_id")]
     )
-    after = delete_cascading({**children, "job_postings": postings}, REFERENCES, "job_postings", mapping)
+    named = {r.child for r in REFERENCES}
+    further = [Reference(n, "job_posting_id", "job_postings") for n in children if n not in named]
+    after = delete_cascading({**children, "job_postings": postings}, [*REFERENCES, *further], "job_postings", mapping)
     return after.pop("job_postings"), merged, {n: after.get(n, c) for n, c in children.items()}
 
 
