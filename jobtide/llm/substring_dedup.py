@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, stored, texts
+from .common import stored, texts
 from .jaccard_join import shingle_sets
 from .kernels import Banding, shingles, slices, words
 from .similarity import link_components
@@ -93,87 +90,71 @@ def paragraphs(docs: DataFrame, length: int, window: int, banding: Banding) -> D
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, stop long, p1 long, p2 long, line boolean, bands array<long>")
 
 
-def _neighbours(places: DataFrame, given: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, start, stop, digest, left, right): the text up to ``reach`` words before and after each place (doc_id, start, stop),
-    and a digest of its own words, which tells the texts of rows that share an id apart."""
-    word = re.compile(WORD)
+def windows_near(places: DataFrame, given: DataFrame, length: int, reach: int) -> DataFrame:
+    """(doc_id, start, stop, p1, p2): every run of ``length`` words that starts at most ``reach`` words from a place (doc_id, start), with a
+    128-bit hash of its words."""
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
-                spans = [m.span() for m in word.finditer(text)]
-                starts = [x for x, _ in spans]
-                for place in own:
-                    a, b = place["start"], place["stop"]
-                    i, j = bisect_left(starts, a), bisect_left(starts, b)
-                    digest = hashlib.md5(b" ".join(text[a:b].encode().lower().split())).digest()
-                    left = text[spans[max(i - reach, 0)][0] : a] if i else ""
-                    right = text[b : spans[min(j + reach, len(spans)) - 1][1]] if j < len(spans) else ""
-                    rows.append((doc, a, b, digest, left, right))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
-            columns = list(zip(*rows)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "start", "stop", "digest", "left", "right"])
-
-    asked = places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("places"))
-    found = given.join(asked, "doc_id").mapInArrow(around, "doc_id long, start long, stop long, digest binary, left string, right string")
-    return found.groupBy("doc_id", "start", "stop", "digest").agg(F.min(F.struct("left", "right")).alias("by")).select("doc_id", "start", "stop", "digest", "by.*")
-
-
-def _equal_ends(own: tuple[str, str], kept: tuple[str, str], room: int | None) -> tuple[int, int, int]:
-    """By how many code points a place and its kept one are equal to the left (of either) and to the right, in whole words.
-    ``room`` bounds the first."""
-    word = re.compile(WORD)
-    same = lambda x, y: x.group().encode().lower() == y.group().encode().lower()
-    left, kept_left, right = 0, 0, 0
-    for x, y in zip(reversed(list(word.finditer(own[0]))), reversed(list(word.finditer(kept[0])))):
-        if not same(x, y) or (room is not None and len(own[0]) - x.start() > room):
-            break
-        left, kept_left = len(own[0]) - x.start(), len(kept[0]) - y.start()
-    for x, y in zip(word.finditer(own[1]), word.finditer(kept[1])):
-        if not same(x, y):
-            break
-        right = x.end()
-    return left, kept_left, right
-
-
-def _extended(rows: DataFrame, given: DataFrame, reach: int) -> DataFrame:
-    """``rows`` with the removed ones that equal the kept one made longer, to the end of the run of words that both places share.
-
-    Rows of one alignment that overlap are a run, and only its ends are compared with the kept text. Where the
-    shared run goes on for more than ``reach`` words it has a piece of its own, so that much is enough."""
-    key = ["doc_id", "keep_id", "shift"]
-    aligned = F.when(F.col("removed") & F.col("equal"), F.col("start") - F.col("keep_start"))
-    rows = rows.withColumn("shift", aligned)
-    before = W.partitionBy(*key).orderBy("start", "stop")
-    fresh = F.coalesce(F.max("stop").over(before.rowsBetween(W.unboundedPreceding, -1)) < F.col("start"), F.lit(True))
-    some = rows.where("shift IS NOT NULL").withColumn("fresh", fresh.cast("long"))
-    some = stored(some.withColumn("run", F.sum("fresh").over(before.rowsBetween(W.unboundedPreceding, 0))))
-    runs = stored(some.groupBy(*key, "run").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"), F.min("keep_start").alias("keep_lo"), F.max("keep_stop").alias("keep_hi")))
-    places = runs.select("doc_id", F.col("lo").alias("start"), F.col("hi").alias("stop")).union(runs.select("keep_id", "keep_lo", "keep_hi")).distinct()
-    around = stored(_neighbours(places, given, reach))
-    own = around.toDF("doc_id", "lo", "hi", "digest", "left", "right")
-    kept = around.toDF("keep_id", "keep_lo", "keep_hi", "digest", "kept_left", "kept_right")
-    both = runs.join(own, ["doc_id", "lo", "hi"]).join(kept, ["keep_id", "keep_lo", "keep_hi", "digest"])
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("left", "right", "kept_left", "kept_right", "room")]
-            got = np.array([_equal_ends((a, b), (c, d), room) for a, b, c, d, room in zip(*columns)], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*key, "run")), *map(pa.array, got.T)], [*key, "run", "more_left", "more_kept", "more_right"])
-
-    # A copy in the document that keeps the first one does not grow into it.
-    room = F.when(F.col("doc_id") == F.col("keep_id"), F.greatest(F.col("lo") - F.col("keep_hi"), F.lit(0).cast("long")))
-    more = both.withColumn("room", room).mapInArrow(ends, "doc_id long, keep_id long, shift long, run long, more_left long, more_kept long, more_right long")
-    more = more.groupBy(*key, "run").agg(F.max(F.struct("more_left", "more_kept", "more_right")).alias("m")).select(*key, "run", "m.*")
-    edges = stored(runs.select(*key, "run", "lo", "hi").join(more, [*key, "run"]))
-    first, last = F.col("start") == F.col("lo"), F.col("stop") == F.col("hi")
-    columns = ["doc_id", "start", "stop", "keep_id", "keep_start", "removed"]
-    grown = some.join(edges, [*key, "run"], "left").select(
-        "doc_id", (F.col("start") - F.when(first, F.col("more_left")).otherwise(0)).alias("start"), (F.col("stop") + F.when(last, F.col("more_right")).otherwise(0)).alias("stop"),
-        "keep_id", (F.col("keep_start") - F.when(first, F.col("more_kept")).otherwise(0)).alias("keep_start"), "removed",
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            asked = batch.column("places")
+            begins, flat = asked.offsets.to_numpy(), asked.values.to_numpy(zero_copy_only=False)
+            for row, to, data, begin in slices(batch.column("text")):
+                found = words(data, begin)
+                hashes, first = found.hashes(), found.first
+                point = np.zeros(len(data) + 1, np.int64)
+                np.cumsum((data & 0xC0) != 0x80, out=point[1:])
+                base, heads = point[begin[:-1]], point[found.starts]
+                own = begins[row : to + 1]
+                text = np.repeat(np.arange(to - row), np.diff(own))
+                at = np.searchsorted(heads, flat[own[0] : own[-1]] + base[text])
+                # Starts from ``reach`` before to ``reach`` behind a place, inside its text.
+                lo, hi = np.maximum(at - reach, first[text]), np.minimum(at + reach, first[text + 1] - length) + 1
+                some = lo < hi
+                near = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(near, lo[some], 1)
+                np.add.at(near, hi[some], -1)
+                starts = np.flatnonzero(np.cumsum(near) > 0)
+                if not len(starts):
+                    continue
+                stops = starts + length
+                p1, p2 = found.content(hashes, starts, stops)
+                owner = np.searchsorted(first, starts, "right") - 1
+                columns = [ids[row + owner], heads[starts] - base[owner], point[found.ends[stops - 1]] - base[owner], p1, p2]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "start", "stop", "p1", "p2"])
+
+    asked = stored(places.groupBy("doc_id").agg(F.collect_set("start").alias("places")))
+    return given.join(asked, "doc_id").mapInArrow(cut, "doc_id long, start long, stop long, p1 long, p2 long")
+
+
+def _against_first(places: DataFrame, by: list[str]) -> DataFrame:
+    """Places (doc_id, start, stop) with the first one of their class, for classes of two documents or more, and ``removed``: all but the
+    first, and but those in its document that overlap it."""
+    first = places.groupBy(*by).agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"), F.max("doc_id").alias("hi"))
+    # Stored, so that the join is one of plain tables, which adaptive execution splits where a class is hot.
+    several = stored(first.where("first.doc_id < hi").select(*by, "first"))
+    gone = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.stop"))
+    return places.join(several, by).select(
+        "doc_id", "start", "stop", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), gone.alias("removed")
     )
-    return rows.where("shift IS NULL").select(*columns).unionByName(grown)
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted (start, stop) spans, joined where they touch or overlap."""
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    join = lambda a, x: F.when(
+        (F.size(a) > 0) & (last(a)["stop"] >= x["start"]),
+        F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["stop"], x["stop"]).alias("stop")))),
+    ).otherwise(F.concat(a, F.array(x)))
+    return F.aggregate(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>"), join)
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Windows of one alignment that touch or overlap, as one row. A group holds the different windows of one document at most."""
+    aligned = rows.withColumn("shift", F.col("start") - F.col("keep_start"))
+    spans = aligned.groupBy("doc_id", "keep_id", "shift", "removed").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"))
+    run = spans.withColumn("run", F.explode(_joined(F.col("s"))))
+    return run.select("doc_id", "run.start", "run.stop", "keep_id", (F.col("run.start") - F.col("shift")).alias("keep_start"), "removed")
 
 
 def repeated_paragraphs(
@@ -185,10 +166,11 @@ def repeated_paragraphs(
 
     Paragraphs that are equal form a class by a 128-bit hash. Classes of lines are joined by MinHash bands, tuned for
     recall (ten bands of three rows find a pair of similarity 0.8 with probability 0.999), and linked where the exact Jaccard
-    similarity of their five-word shingles is num / den or more; the components of the links are the clusters.
-    The first place of a cluster, by doc_id and start, is kept; all others are removed, also those in one document, but for
-    places that overlap the kept one. A removed paragraph that equals the kept one is made longer on both sides, by
-    whole words, as far as the two texts agree. A repeat inside one document only is not reported.
+    similarity of their five-word shingles is num / den or more; the components of the links are the clusters. Around
+    the equal paragraphs of different documents every run of ``length`` words is compared by hash in turn, with all documents that
+    have it there, so equal text is found to its end whichever document shares how much of it. The first place of a cluster or run, by doc_id and
+    start, is kept; all others are removed, also those in one document, but for places that overlap the kept one. Runs
+    that follow one another beside the same kept text are one row. A repeat inside one document only is not reported.
 
     With the defaults every run of 50 words that two documents share holds a paragraph that both have, and all of it is removed
     from the later one. Null and
@@ -211,16 +193,13 @@ def repeated_paragraphs(
     # Only repeated classes go on: pieces and lines of one document have no partner.
     kept = found.groupBy("p1", "p2", "line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     named = kept.join(near, kept["line"] & (kept["p1"] == near["node"]), "left").where("lo < hi OR component IS NOT NULL")
-    cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"), "line")
-    named = stored(named.select("p1", "p2", "line", cluster.alias("cluster")))
-    occurrences = stored(found.select("doc_id", "start", "stop", "p1", "p2", "line").join(named, ["p1", "p2", "line"]).select("doc_id", "start", "stop", "p1", "p2", "cluster"))
-    first = occurrences.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "stop", "p1", "p2")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
-    rows = occurrences.join(stored(first), "cluster").select(
-        "doc_id", "start", "stop", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), F.col("first.stop").alias("keep_stop"),
-        ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.stop"))).alias("removed"),
-        ((F.col("p1") == F.col("first.p1")) & (F.col("p2") == F.col("first.p2"))).alias("equal"),
-    )
-    return _extended(stored(rows), given, window + K)
+    cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"))
+    named = stored(named.select("p1", "p2", "line", cluster.alias("cluster"), (F.col("lo") < F.col("hi")).alias("equal")))
+    occurrences = stored(found.select("doc_id", "start", "stop", "p1", "p2", "line").join(named, ["p1", "p2", "line"]).select("doc_id", "start", "stop", "line", "cluster", "equal"))
+    alike = _against_first(occurrences.where("line").select("doc_id", "start", "stop", "cluster"), ["cluster"])
+    # A word of a shared run of ``window + length - 1`` words lies in a run of ``length`` words that starts less than ``window`` from a piece.
+    around = stored(windows_near(occurrences.where("equal").select("doc_id", "start"), given, length, window - 1))
+    return alike.unionByName(_runs(_against_first(around, ["p1", "p2"]))).distinct()
 
 
 def removals(repeated: DataFrame) -> DataFrame:
@@ -229,12 +208,7 @@ def removals(repeated: DataFrame) -> DataFrame:
     gone = repeated.where("removed").groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"), F.sort_array(F.collect_set("keep_id")).alias("keep_ids"), F.count("*").alias("n_paragraphs")
     )
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    join = lambda a, x: F.when(
-        (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["stop"] >= x["start"]),
-        F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["stop"], x["stop"]).alias("stop")))),
-    ).otherwise(F.concat(a, F.array(x)))
-    merged = gone.withColumn("m", F.aggregate("s", empty, join))
+    merged = gone.withColumn("m", _joined(F.col("s")))
     return merged.select(
         "doc_id", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",").alias("spans"), "n_paragraphs",
         F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("removed_chars"), "keep_ids",

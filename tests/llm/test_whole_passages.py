@@ -34,3 +34,48 @@ def test_whole_passages_and_all_copies_go(docs_of):
     assert got.pop(201) == [(0, 1599)]
     assert got.pop(200)[0][0] >= 24 * 4 - 1
     assert got == want
+
+
+def words_of(text):
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", text)]
+
+
+def test_longer_runs_of_later_documents_go_too(docs_of):
+    """Document 1 holds the middle of a passage only; 2 and 3 share more of it, which 3 loses whole."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"{rng.choice('aeiou')}{rng.randrange(10**6)}" for _ in range(n))
+    left, middle, right = text(18), text(24), text(18)
+    whole = f"{left} {middle} {right}"
+    rows = [(1, f"{text(40)} {middle} {text(40)}"), (2, f"{text(30)} {whole} {text(5)}"), (3, f"{text(9)} {whole}")]
+    got = spans_of(substring_dedup.repeated_paragraphs(docs_of(rows)))
+    start = len(rows[2][1]) - len(whole)
+    assert got[3] == [(start, start + len(whole))] and 1 not in got
+
+
+def test_every_shared_run_of_fifty_words_against_brute_force(docs_of):
+    """Every word of a run of 50 that an earlier document has is removed, and every removed word lies in a run of 24 that it has."""
+    rng = random.Random(19)
+    source = [f"{rng.choice('aeiou')}{rng.randrange(10**5)}" for _ in range(400)]
+    rows = []
+    for d in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            a, n = rng.randrange(400), rng.randrange(5, 130)
+            parts += source[a : a + n] + [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 30))]
+        rows.append((d, rng.choice([" ", "  ", " \t"]).join(parts)))
+    got = spans_of(substring_dedup.repeated_paragraphs(docs_of(rows)))
+    seen = {24: set(), 50: set()}
+    for d, text in rows:
+        found = words_of(text)
+        tokens = [w for _, _, w in found]
+        must, may = set(), set()
+        for n, into in ((50, must), (24, may)):
+            here = [tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
+            own = set()
+            for i, run in enumerate(here):
+                if run in seen[n] or run in own:  # repeats inside the document may go as well
+                    into.update(range(i, i + n) if run in seen[n] or n == 24 else ())
+                own.add(run)
+            seen[n] |= own
+        gone = {i for i, (a, b, _) in enumerate(found) if any(x <= a and b <= y for x, y in got.get(d, []))}
+        assert must <= gone <= may, d
