@@ -46,10 +46,11 @@ def anchors(grams: np.ndarray, first: np.ndarray, window: int, length: int) -> n
 
 
 def paragraphs(docs: DataFrame, length: int, window: int, banding: Banding) -> DataFrame:
-    """(doc_id, start, stop, p1, p2, line, bands): the paragraphs of each text, in code points.
+    """(doc_id, start, stop, p1, p2, line, bands, left, right, reach): the paragraphs of each text, in code points.
 
     A paragraph is a line of ``length`` words or more, with band keys, or a content-defined piece of ``length`` words
-    (no bands), which also finds passages inside longer lines. Equal ones of a text are given each.
+    (no bands), which also finds passages inside longer lines. Equal ones of a text are given each. ``right`` is a hash of the words from
+    a piece to the end of the next one of the text, which is at ``reach``, and ``left`` of those from the one before; 0 where there is none.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +76,12 @@ def paragraphs(docs: DataFrame, length: int, window: int, banding: Banding) -> D
                     continue
                 line = np.arange(len(starts)) < len(heads)
                 p1, p2 = found.content(hashes, starts, stops)
+                left, right, reach = np.zeros((3, len(starts)), np.int64)
+                if len(pieces) > 1:
+                    # Neighbours among the pieces: the run of words from one to the end of the next, in one text.
+                    own = np.flatnonzero(text[pieces[:-1]] == text[pieces[1:]])
+                    link = found.content(hashes, pieces[own], pieces[own + 1] + length)[0]
+                    right[len(heads) + own], left[len(heads) + own + 1] = link, link
                 bands = np.zeros((len(starts), banding.bands), np.int64)
                 if len(heads):
                     bands[: len(heads)] = banding.keys_of_runs(grams, heads, ends - K + 1)
@@ -84,21 +91,26 @@ def paragraphs(docs: DataFrame, length: int, window: int, banding: Banding) -> D
                 base = point[begin[owner]]
                 numbers = np.where(line, banding.bands, 0)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(numbers)]), pa.int32()), pa.array(bands[line].ravel()))
-                columns = [ids[row + owner], point[found.starts[starts]] - base, point[found.ends[stops - 1]] - base, p1, p2, line]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], ["doc_id", "start", "stop", "p1", "p2", "line", "bands"])
+                ends_at = point[found.ends[stops - 1]] - base
+                reach[:-1] = np.where(right[:-1] != 0, ends_at[1:], 0)
+                columns = [ids[row + owner], point[found.starts[starts]] - base, ends_at, p1, p2, line]
+                names = ["doc_id", "start", "stop", "p1", "p2", "line", "bands", "left", "right", "reach"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys, *map(pa.array, (left, right, reach))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, stop long, p1 long, p2 long, line boolean, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        cut, "doc_id long, start long, stop long, p1 long, p2 long, line boolean, bands array<long>, left long, right long, reach long")
 
 
 def windows_near(places: DataFrame, given: DataFrame, length: int, reach: int) -> DataFrame:
-    """(doc_id, start, stop, p1, p2): every run of ``length`` words that starts at most ``reach`` words from a place (doc_id, start), with a
-    128-bit hash of its words."""
+    """(doc_id, start, stop, p1, p2): every run of ``length`` words that starts at most ``reach`` words from a place (doc_id, start, before,
+    behind), on the sides that these flags ask for, with a 128-bit hash of its words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             asked = batch.column("places")
-            begins, flat = asked.offsets.to_numpy(), asked.values.to_numpy(zero_copy_only=False)
+            begins, flat = asked.offsets.to_numpy(), asked.values.field("start").to_numpy(zero_copy_only=False)
+            before, behind = (reach * asked.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("before", "behind"))
             for row, to, data, begin in slices(batch.column("text")):
                 found = words(data, begin)
                 hashes, first = found.hashes(), found.first
@@ -107,9 +119,10 @@ def windows_near(places: DataFrame, given: DataFrame, length: int, reach: int) -
                 base, heads = point[begin[:-1]], point[found.starts]
                 own = begins[row : to + 1]
                 text = np.repeat(np.arange(to - row), np.diff(own))
-                at = np.searchsorted(heads, flat[own[0] : own[-1]] + base[text])
+                here = np.s_[own[0] : own[-1]]
+                at = np.searchsorted(heads, flat[here] + base[text])
                 # Starts from ``reach`` before to ``reach`` behind a place, inside its text.
-                lo, hi = np.maximum(at - reach, first[text]), np.minimum(at + reach, first[text + 1] - length) + 1
+                lo, hi = np.maximum(at - before[here], first[text]), np.minimum(at + behind[here], first[text + 1] - length) + 1
                 some = lo < hi
                 near = np.zeros(len(hashes) + 1, np.int64)
                 np.add.at(near, lo[some], 1)
@@ -123,7 +136,7 @@ def windows_near(places: DataFrame, given: DataFrame, length: int, reach: int) -
                 columns = [ids[row + owner], heads[starts] - base[owner], point[found.ends[stops - 1]] - base[owner], p1, p2]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "start", "stop", "p1", "p2"])
 
-    asked = stored(places.groupBy("doc_id").agg(F.collect_set("start").alias("places")))
+    asked = stored(places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "before", "behind")).alias("places")))
     return given.join(asked, "doc_id").mapInArrow(cut, "doc_id long, start long, stop long, p1 long, p2 long")
 
 
@@ -135,7 +148,7 @@ def _against_first(places: DataFrame, by: list[str]) -> DataFrame:
     several = stored(first.where("first.doc_id < hi").select(*by, "first"))
     gone = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.stop"))
     return places.join(several, by).select(
-        "doc_id", "start", "stop", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), gone.alias("removed")
+        *[c for c in by if c == "line"], "doc_id", "start", "stop", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), gone.alias("removed")
     )
 
 
@@ -166,9 +179,10 @@ def repeated_paragraphs(
 
     Paragraphs that are equal form a class by a 128-bit hash. Classes of lines are joined by MinHash bands, tuned for
     recall (ten bands of three rows find a pair of similarity 0.8 with probability 0.999), and linked where the exact Jaccard
-    similarity of their five-word shingles is num / den or more; the components of the links are the clusters. Around
-    the equal paragraphs of different documents every run of ``length`` words is compared by hash in turn, with all documents that
-    have it there, so equal text is found to its end whichever document shares how much of it. The first place of a cluster or run, by doc_id and
+    similarity of their five-word shingles is num / den or more; the components of the links are the clusters. An equal piece
+    that all its places continue alike goes on to the end of the next one. Where they differ, every run of ``length`` words on
+    that side is compared by hash in turn, with all documents that have it there, so equal text is found to its end whichever
+    document shares how much of it. The first place of a cluster or run, by doc_id and
     start, is kept; all others are removed, also those in one document, but for places that overlap the kept one. Runs
     that follow one another beside the same kept text are one row. A repeat inside one document only is not reported.
 
@@ -191,15 +205,22 @@ def repeated_paragraphs(
 
     near = link_components(members, sets_of, num, den)
     # Only repeated classes go on: pieces and lines of one document have no partner.
-    kept = found.groupBy("p1", "p2", "line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    alike = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
+    kept = found.groupBy("p1", "p2", "line").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (~alike("left")).alias("before"), (~alike("right")).alias("behind")
+    )
     named = kept.join(near, kept["line"] & (kept["p1"] == near["node"]), "left").where("lo < hi OR component IS NOT NULL")
-    cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"))
-    named = stored(named.select("p1", "p2", "line", cluster.alias("cluster"), (F.col("lo") < F.col("hi")).alias("equal")))
-    occurrences = stored(found.select("doc_id", "start", "stop", "p1", "p2", "line").join(named, ["p1", "p2", "line"]).select("doc_id", "start", "stop", "line", "cluster", "equal"))
-    alike = _against_first(occurrences.where("line").select("doc_id", "start", "stop", "cluster"), ["cluster"])
-    # A word of a shared run of ``window + length - 1`` words lies in a run of ``length`` words that starts less than ``window`` from a piece.
-    around = stored(windows_near(occurrences.where("equal").select("doc_id", "start"), given, length, window - 1))
-    return alike.unionByName(_runs(_against_first(around, ["p1", "p2"]))).distinct()
+    cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"), "line")
+    named = stored(named.select("p1", "p2", "line", cluster.alias("cluster"), "before", "behind"))
+    places = found.select("doc_id", "start", "stop", "p1", "p2", "line", "reach").join(named, ["p1", "p2", "line"])
+    goes_on = F.when(F.col("line") | F.col("behind"), F.col("stop")).otherwise(F.col("reach")).alias("stop")
+    occurrences = stored(places.select("doc_id", "start", goes_on, "line", "cluster", "before", "behind"))
+    rows = stored(_against_first(occurrences.select("doc_id", "start", "stop", "line", "cluster"), ["cluster", "line"]))
+    # A word of a shared run of ``window + length - 1`` words lies between two of its pieces, or in a run of ``length`` words that
+    # starts less than ``window`` from one of them.
+    edges = occurrences.where(~F.col("line") & (F.col("before") | F.col("behind"))).select("doc_id", "start", "before", "behind")
+    around = _against_first(stored(windows_near(edges, given, length, window - 1)), ["p1", "p2"])
+    return rows.where("line").drop("line").distinct().unionByName(_runs(rows.where("NOT line").drop("line").unionByName(around)))
 
 
 def removals(repeated: DataFrame) -> DataFrame:
