@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .sizing import sized_join
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def deleted_keys(
             if r.parent in level and not r.clears and r.child in own_key:
                 name = own_key[r.child]
                 parents = level[r.parent].select(F.col(r.key).alias(r.column))
-                keys = tables[r.child].select(name, r.column).join(parents, r.column, "left_semi").select(name).distinct()
+                keys = sized_join(tables[r.child].select(name, r.column), parents, r.column, "left_semi").select(name).distinct()
                 after[r.child] = after[r.child].union(keys).distinct() if r.child in after else keys
         level = {}
         for name, keys in after.items():
@@ -71,7 +72,7 @@ def deleted_keys(
                     continue
                 found[name] = found[name].union(keys)
             else:
-                found[name] = keys
+                found[name] = keys = cut_lineage(keys)
             level[name] = keys
     return found
 
@@ -84,7 +85,7 @@ def delete_cascading(
     references = [r for r in references if r.child in tables]
     found = deleted_keys(tables, references, table, gone, key)
     own_key = {r.parent: r.key for r in references} | {table: key}
-    out: dict[str, DataFrame] = {n: tables[n].join(keys, own_key[n], "left_anti") for n, keys in found.items() if n in tables}
+    out: dict[str, DataFrame] = {n: _without(tables[n], keys, own_key[n]) for n, keys in found.items() if n in tables}
     for r in references:
         if r.parent not in found:
             continue
@@ -94,11 +95,15 @@ def delete_cascading(
             marked = rows.join(parents.withColumn("_hit", F.lit(True)), F.col(r.column) == F.col("_gone"), "left")
             rows = marked.select(*[F.when(F.col("_hit").isNull(), F.col(c)).alias(c) if c == r.column else F.col(c) for c in rows.columns])
         elif r.child not in found:
-            rows = rows.join(parents, rows[r.column] == parents["_gone"], "left_anti")
+            rows = _without(rows, parents.withColumnRenamed("_gone", r.column), r.column)
         out[r.child] = rows
     return out
 
 
+def _without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    return sized_join(rows, gone, column, "left_anti").select(*rows.columns)
+
+
 def cascade_report(tables: Mapping[str, DataFrame], left: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, rows_before, rows_after, rows_deleted) of every table of ``left``."""
     report = None

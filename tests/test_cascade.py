@@ -1,6 +1,6 @@
 """Cascading deletions, merged master rows, and sinks and imports with several rows per key."""
 
-from jobtide.operators import dedup, sinks
+from jobtide.operators import dedup, sinks, sizing
 from jobtide.operators.cascade import Reference, delete_cascading
 from jobtide.sources import company_csv
 
@@ -81,3 +81,16 @@ def test_csv_rows_apply_in_file_order(spark, tmp_path):
     classified = company_csv.classify_import(company_csv.read_company_csv(spark, str(tmp_path)), companies, master)
     got = company_csv.apply_import(classified, master)
     assert values(got, "company_id", "industry", "website") == [(1, "Art", "m.example"), (2, "Retail", None)]
+
+
+def test_partitions_of_a_deletion_follow_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sizing, "PART_BYTES", 1 << 12)
+    for name, rows in (("p", spark.range(4000).selectExpr("id", "id % 7 AS g")), ("c", spark.range(40_000).selectExpr("IF(id % 10 = 0, NULL, id % 4000) AS p", "id AS n"))):
+        rows.write.parquet(str(tmp_path / name))
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in ("p", "c")}
+    parts = sizing.input_parts(tables["c"])
+    assert parts > 10 and sizing.input_parts(spark.range(3).toDF("id")) == 0
+    left = delete_cascading(tables, [Reference("c", "p", "p")], "p", tables["p"].where("g < 3"))
+    assert left["c"].columns == ["p", "n"] and left["c"].rdd.getNumPartitions() == parts
+    assert values(left["c"], "n") == [(n,) for n in range(40_000) if n % 10 == 0 or n % 4000 % 7 >= 3]
+    assert values(left["p"], "id") == [(n,) for n in range(4000) if n % 7 >= 3]
