@@ -69,6 +69,21 @@ def test_streamed_spans_over_several_batches(spark, rows, tmp_path):
     assert over == {r["id"] for r in marked.where("NOT is_active").collect()}
 
 
+def test_streamed_spans_at_the_gap_to_the_microsecond(spark, tmp_path):
+    gap, one = 3600, dt.timedelta(microseconds=1)
+    hour = dt.timedelta(hours=1)
+    rows = [("under", T0 + one), ("under", T0 + hour), ("full", T0 + one), ("full", T0 + hour + one), ("twice", T0), ("twice", T0),
+            ("long", T0), *(("long", T0 + i * dt.timedelta(minutes=50)) for i in range(9)), ("later", T0 + dt.timedelta(days=2))]
+    source = str(tmp_path / "in")
+    sightings_frame(spark, rows).write.parquet(source)
+    stream = sightings.file_stream(spark, source, sightings_frame(spark, rows).schema, "*.parquet")
+    spans = inactivity.stream_spans(stream, ["k"], "ts", gap)
+    # The spans are Spark's own state: no row of a key goes through Python once it is sliced.
+    assert "TransformWithState" not in spans._jdf.queryExecution().analyzed().toString()
+    out = inactivity.with_timers(spark, lambda: sightings.run_to_table(spans, str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert collected(out) == [s for s in naive_spans(rows, gap) if s[0] != "later"]
+
+
 def test_a_hot_key_sends_one_row_per_slice():
     micros = [i * 1_000_000 for i in range(10_000)]
     batch = pd.DataFrame({"k": ["hot"] * len(micros), "micros": micros})
