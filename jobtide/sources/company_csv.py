@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text
 from ..operators.tables import insert_ignore, patch
+from ..session import cut_lineage
 
 IMPORT_FIELDS = ("industry", "website", "jobs_page_url", "contact_email", "founded_year")
 
@@ -40,6 +41,7 @@ EXPORT_COLUMNS = (
 
 
 PLACE = "place"
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
 
 
 def field_of_header(header: str) -> str | None:
@@ -51,8 +53,13 @@ def read_company_csv(spark: SparkSession, path: str, sep: str = ",", encoding: s
     """The rows of one or more files with ``place``, their order: files by name, rows as in their file."""
     raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"')
     # A file may hold line breaks in cells, so one task reads it from the start: its row numbers ascend.
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return name_import_columns(raw.select(*[F.col(f"`{c}`") for c in raw.columns], place.alias(PLACE)))
+    path = F.col("_metadata.file_path").alias("_path")
+    files = raw.select(path).distinct().withColumn("_file", F.row_number().over(W.orderBy("_path")).cast("long"))
+    rows = raw.select(*[F.col(f"`{c}`") for c in raw.columns], path, F.monotonically_increasing_id().alias("_row"))
+    # The number of the file before the row's number in its partition: a long, where the path would be most of a row.
+    place = F.shiftleft("_file", _ROW_BITS) + F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = rows.join(F.broadcast(files), "_path")
+    return name_import_columns(placed.select(*[F.col(f"`{c}`") for c in raw.columns], place.alias(PLACE)))
 
 
 def name_import_columns(raw: DataFrame) -> DataFrame:
@@ -79,6 +86,8 @@ def classify_import(rows: DataFrame, companies: DataFrame, master: DataFrame) ->
         F.min("id").alias("company_id")
     )
     has_master = master.select("company_id").distinct().withColumn("_has_master", F.lit(True))
+    # What is known of a company is put together first, so the rows take part in one join, by the id that the file gives.
+    known = known.join(has_master, "company_id", "left")
     has_data = F.coalesce(*[F.col(f).cast("string") for f in IMPORT_FIELDS]).isNotNull()
     outcome = (
         F.when(F.col("linkedin_company_id").isNull(), "skipped")
@@ -89,7 +98,6 @@ def classify_import(rows: DataFrame, companies: DataFrame, master: DataFrame) ->
     )
     return (
         cleaned.join(known, "linkedin_company_id", "left")
-        .join(has_master, "company_id", "left")
         .withColumn("outcome", outcome)
         .drop("_has_master")
     )
@@ -117,7 +125,7 @@ def apply_import(classified: DataFrame, master: DataFrame) -> DataFrame:
     """
     hits = classified.where(F.col("outcome").startswith("master_data"))
     last = {f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col(PLACE))) if PLACE in hits.columns else F.max(f) for f in IMPORT_FIELDS}
-    merged = hits.groupBy("company_id").agg(*[v.alias(f) for f, v in last.items()])
+    merged = cut_lineage(hits.groupBy("company_id").agg(*[v.alias(f) for f, v in last.items()]))
     updated = patch(_with_import_columns(master), merged, "company_id")
     return insert_ignore(updated, merged, ["company_id"])
 

@@ -94,3 +94,16 @@ def test_partitions_of_a_deletion_follow_the_files(spark, tmp_path, monkeypatch)
     assert left["c"].columns == ["p", "n"] and left["c"].rdd.getNumPartitions() == parts
     assert values(left["c"], "n") == [(n,) for n in range(40_000) if n % 10 == 0 or n % 4000 % 7 >= 3]
     assert values(left["p"], "id") == [(n,) for n in range(4000) if n % 7 >= 3]
+
+
+def test_import_rows_are_numbered_over_files(spark, tmp_path):
+    for i in range(12):  # part 2 before part 10 by name, several files per task
+        (tmp_path / f"part-{i:05d}.csv").write_text("LinkedIn Company ID,Industry,Website\n" + f"1,i{i}a,w{i}\n1,i{i}b,\n" + f"2,j{i},\n,x,y\n")
+    rows = company_csv.read_company_csv(spark, str(tmp_path))
+    assert dict(rows.dtypes)["place"] == "bigint" and rows.select("place").distinct().count() == 48
+    companies = spark.createDataFrame([(7, "1"), (8, "2"), (9, None)], "id long, linkedin_company_id string")
+    master = spark.createDataFrame([(1, 7, "old")], "id long, company_id long, industry string")
+    classified = company_csv.classify_import(rows, companies, master)
+    # The rows meet one table: what is known of companies and master rows is joined before.
+    assert classified.groupBy("outcome").count().sort("outcome").collect() == [("master_data_created", 12), ("master_data_updated", 24), ("skipped", 12)]
+    assert values(company_csv.apply_import(classified, master), "company_id", "industry", "website") == [(7, "i11b", "w11"), (8, "j11", None)]
