@@ -166,6 +166,30 @@ def test_same_as_one_by_one(spark, seed):
     assert got.tables["companies"].count() == len({c["key"] for c in stored} | set(used))
 
 
+def test_only_keys_and_watched_fields_are_joined(spark, monkeypatch):
+    """The rows that go through the key joins do not carry whole postings; the winner of a key gets its posting back."""
+    stored, cut = [], ingest.cut_lineage
+    monkeypatch.setattr(ingest, "cut_lineage", lambda df: stored.append(df.schema) or cut(df))
+    items = [
+        item(1, job_num_applicants=1, job_summary="first", apply_link="a1"), item(2, job_num_applicants=2, job_summary="second", apply_link="a2"),
+        item(3, job_num_applicants=2, apply_link="a3"), item(4, "Nurse", " Tech Corp", apply_link="a4"),
+    ]
+    got = ingest.ingest_items(frame(spark, items), "linkedin", "r", empty_tables(spark), NOW)
+    assert [set(s["posting"].dataType.names) for s in stored[:2]] == [set(ingest.WATCHED)] * 2
+    assert "company" not in stored[1].names
+    # The second record changed the posting, the third did not; its whole posting is kept, the description is that of the first.
+    shown = rows_of(got.tables["job_postings"].where("title = 'Data Engineer'"), "linkedin_job_id", "apply_url", "num_applicants", "job_url")
+    assert shown == [("2", "a2", 2, "https://x/2")]
+    assert [r[0] for r in rows_of(got.tables["job_descriptions"].where("summary IS NOT NULL"), "summary")] == ["first"]
+
+
+def test_repeated_arrivals_keep_one_posting(spark):
+    """Rows that come twice under one arrival number are told apart: their key has one posting."""
+    twice = frame(spark, [item(1, apply_link="a")]).unionByName(frame(spark, [item(1, apply_link="a")]))
+    got = ingest.ingest_items(twice, "linkedin", "r", empty_tables(spark), NOW)
+    assert rows_of(got.tables["job_postings"], "linkedin_job_id", "apply_url") == [("1", "a")]
+
+
 def test_snapshot_files(spark, tmp_path):
     array = tmp_path / "array.json"
     array.write_text('[{"job_posting_id":"1","job_title":"T","company_name":"C","job_location":"L","url":"u"},\n {"error":"x","error_code":"y"}]')
