@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import components, stored
+from .common import components, passing, stored
 
 GROUP = 64
 ROUNDS = 3
@@ -38,38 +38,39 @@ def link_components(
     without a link are not returned. The result holds every link between two ids that share a bucket; there is no
     cap on buckets, partners or the search.
     """
-    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    rows = stored(members.join(stored(shared), "key"))
-    sets = stored(sets_of(rows.select("id").distinct()))
-    alone = (
-        sets.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id"))
-        .where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    )
-    sized = sets.select("id", F.size("tokens").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    able = stored(sized.where((F.col("n") - F.col("u")) * den >= F.col("n") * num))
-    rows = stored(rows.join(able, "id"))
-    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    links, labels = None, None
-    for turn in range(rounds + 1):
-        if labels is None:
-            known = rows.withColumn("comp", F.col("id"))
-        else:
-            known = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "n", "u", F.coalesce("component", "id").alias("comp"))
-        split = stored(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-        known = stored(known.join(split, "key"))
-        if known.isEmpty():
-            break
-        if turn < rounds:
-            pairs = _leader_pairs(known, turn, num, den)
-            fresh = pairs.join(left, "a").join(right, "b").where(_linked("ta", "tb", num, den)).select("a", "b")
-        else:
-            fresh = _matrix_links(known, sets, num, den, group)
-        fresh = stored(fresh)
-        links = fresh if links is None else links.union(fresh)
-        labels = stored(components(links))
-    if labels is None:
-        return members.sparkSession.createDataFrame([], members.select(F.col("id").alias("node"), F.col("id").alias("component")).schema)
-    return labels
+    with passing() as keep:
+        shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+        rows = stored(members.join(stored(shared), "key"))
+        sets = stored(sets_of(rows.select("id").distinct()))
+        alone = (
+            sets.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+            .where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+        )
+        sized = sets.select("id", F.size("tokens").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+        able = stored(sized.where((F.col("n") - F.col("u")) * den >= F.col("n") * num))
+        rows = stored(rows.join(able, "id"))
+        left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+        links, labels = None, None
+        for turn in range(rounds + 1):
+            if labels is None:
+                known = rows.withColumn("comp", F.col("id"))
+            else:
+                known = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "n", "u", F.coalesce("component", "id").alias("comp"))
+            split = stored(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+            known = stored(known.join(split, "key"))
+            if known.isEmpty():
+                break
+            if turn < rounds:
+                pairs = _leader_pairs(known, turn, num, den)
+                fresh = pairs.join(left, "a").join(right, "b").where(_linked("ta", "tb", num, den)).select("a", "b")
+            else:
+                fresh = _matrix_links(known, sets, num, den, group)
+            fresh = stored(fresh)
+            links = fresh if links is None else links.union(fresh)
+            labels = stored(components(links))
+        if labels is not None:
+            return keep(labels)
+    return members.sparkSession.createDataFrame([], members.select(F.col("id").alias("node"), F.col("id").alias("component")).schema)
 
 
 def _apart(n, u, other_n, other_u, num: int, den: int):

@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import stored, texts
+from .common import passing, stored, texts
 from .jaccard_join import shingle_sets
 from .kernels import Banding, shingles, slices, words
 from .similarity import link_components
@@ -163,11 +163,14 @@ def _joined(spans: Column) -> Column:
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """Windows of one alignment that touch or overlap, as one row. A group holds the different windows of one document at most."""
-    aligned = rows.withColumn("shift", F.col("start") - F.col("keep_start"))
-    spans = aligned.groupBy("doc_id", "keep_id", "shift", "removed").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"))
-    run = spans.withColumn("run", F.explode(_joined(F.col("s"))))
-    return run.select("doc_id", "run.start", "run.stop", "keep_id", (F.col("run.start") - F.col("shift")).alias("keep_start"), "removed")
+    """Windows of one alignment that touch or overlap, as one row."""
+    by = ["doc_id", "keep_id", "shift", "removed"]
+    order = W.partitionBy(*by).orderBy("start", "stop")
+    aligned = rows.select("doc_id", "keep_id", (F.col("start") - F.col("keep_start")).alias("shift"), "removed", "start", "stop")
+    apart = F.coalesce(F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)) < F.col("start"), F.lit(True))
+    numbered = aligned.withColumn("apart", apart.cast("long")).withColumn("run", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    run = numbered.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return run.select("doc_id", "start", "stop", "keep_id", (F.col("start") - F.col("shift")).alias("keep_start"), "removed")
 
 
 def repeated_paragraphs(
@@ -192,37 +195,47 @@ def repeated_paragraphs(
     table gives no rows.
     """
     given = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    found = stored(paragraphs(given, length, window, banding))
-    # One line of each class stands for it in the bands, under a 64-bit id.
-    lines = found.where("line")
-    classes = stored(lines.groupBy("p1", "p2").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "stop")).alias("at")))
-    members = stored(classes.select(F.explode("bands").alias("key"), F.col("p1").alias("id")))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        at = classes.join(ids, classes["p1"] == ids["id"], "left_semi").select("p1", "at.*")
-        own = F.expr("substring(text, int(start) + 1, int(stop - start))").alias("text")
-        return shingle_sets(given.join(at, "doc_id").select(F.col("p1").alias("doc_id"), own), K)
-
-    near = link_components(members, sets_of, num, den)
-    # Only repeated classes go on: pieces and lines of one document have no partner.
-    alike = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
-    kept = found.groupBy("p1", "p2", "line").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (~alike("left")).alias("before"), (~alike("right")).alias("behind")
-    )
-    named = kept.join(near, kept["line"] & (kept["p1"] == near["node"]), "left").where("lo < hi OR component IS NOT NULL")
-    cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"), "line")
-    named = stored(named.select("p1", "p2", "line", cluster.alias("cluster"), "before", "behind"))
-    places = found.select("doc_id", "start", "stop", "p1", "p2", "line", "reach").join(named, ["p1", "p2", "line"])
-    goes_on = F.when(F.col("line") | F.col("behind"), F.col("stop")).otherwise(F.col("reach")).alias("stop")
-    occurrences = stored(places.select("doc_id", "start", goes_on, "line", "cluster", "before", "behind"))
-    rows = stored(_against_first(occurrences.select("doc_id", "start", "stop", "line", "cluster"), ["cluster", "line"]))
-    # A word of a shared run of ``window + length - 1`` words lies between two of its pieces, or in a run of ``length`` words that
-    # starts less than ``window`` from one of them.
-    edges = occurrences.where(~F.col("line") & (F.col("before") | F.col("behind"))).select("doc_id", "start", "before", "behind")
-    around = _against_first(stored(windows_near(edges, given, length, window - 1)), ["p1", "p2"])
+    with passing() as keep:
+        occurrences = _occurrences(given, length, window, num, den, banding)
+        rows = keep(stored(_against_first(occurrences.select("doc_id", "start", "stop", "line", "cluster"), ["cluster", "line"])))
+        # A word of a shared run of ``window + length - 1`` words lies between two of its pieces, or in a run of ``length`` words that
+        # starts less than ``window`` from one of them.
+        edges = occurrences.where(~F.col("line") & (F.col("before") | F.col("behind"))).select("doc_id", "start", "before", "behind")
+        near = keep(stored(windows_near(edges, given, length, window - 1)))
+    around = _against_first(near, ["p1", "p2"])
     return rows.where("line").drop("line").distinct().unionByName(_runs(rows.where("NOT line").drop("line").unionByName(around)))
 
 
+def _occurrences(given: DataFrame, length: int, window: int, num: int, den: int, banding: Banding) -> DataFrame:
+    """(doc_id, start, stop, line, cluster, before, behind), stored: the paragraphs of clusters and repeated classes, pieces that go on alike up
+    to the end of the next one, and the sides on which others differ."""
+    with passing() as keep:
+        found = stored(paragraphs(given, length, window, banding))
+        # One line of each class stands for it in the bands, under a 64-bit id.
+        lines = found.where("line")
+        classes = stored(lines.groupBy("p1", "p2").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "stop")).alias("at")))
+        members = stored(classes.select(F.explode("bands").alias("key"), F.col("p1").alias("id")))
+
+        def sets_of(ids: DataFrame) -> DataFrame:
+            at = classes.join(ids, classes["p1"] == ids["id"], "left_semi").select("p1", "at.*")
+            own = F.expr("substring(text, int(start) + 1, int(stop - start))").alias("text")
+            return shingle_sets(given.join(at, "doc_id").select(F.col("p1").alias("doc_id"), own), K)
+
+        near = link_components(members, sets_of, num, den)
+        # Only repeated classes go on: pieces and lines of one document have no partner.
+        alike = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
+        kept = found.groupBy("p1", "p2", "line").agg(
+            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (~alike("left")).alias("before"), (~alike("right")).alias("behind")
+        )
+        several = kept.where("lo < hi OR line")  # only lines have near copies
+        named = several.join(near, several["line"] & (several["p1"] == near["node"]), "left").where("lo < hi OR component IS NOT NULL")
+        cluster = F.struct(F.coalesce("component", "p1").alias("a"), F.when(F.col("component").isNull(), F.col("p2")).alias("b"), "line")
+        named = stored(named.select("p1", "p2", "line", cluster.alias("cluster"), "before", "behind"))
+        places = found.select("doc_id", "start", "stop", "p1", "p2", "line", "reach").join(named, ["p1", "p2", "line"])
+        goes_on = F.when(F.col("line") | F.col("behind"), F.col("stop")).otherwise(F.col("reach")).alias("stop")
+        return keep(stored(places.select("doc_id", "start", goes_on, "line", "cluster", "before", "behind")))
+
+
 def removals(repeated: DataFrame) -> DataFrame:
     """One row per document that loses text: doc_id, spans ("start:end,...", joined where they touch or overlap),
     n_paragraphs, removed_chars and keep_ids, the documents that keep the text."""
