@@ -1,12 +1,14 @@
 """Streams: landed files are applied once, and streamed results equal batch results."""
 
 import json
+import os
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_ingest import NOW, empty_tables, item
 
+from jobtide import session
 from jobtide.operators import growing, lifecycle
 from jobtide.streaming import ingest, sightings
 
@@ -69,3 +71,25 @@ def test_windows_slide(spark):
     df = spark.sql("SELECT timestamp'2025-01-01 00:10:00' AS ts, 'ok' AS s UNION ALL SELECT timestamp'2025-01-01 01:10:00', 'ok'")
     got = sightings.run_window_counts(df, "ts", df["s"], "2 hours", "1 hour").orderBy("window_start").collect()
     assert [r["runs"] for r in got] == [1, 2, 1]
+
+
+def left_over(spark):
+    """Stored tables and checkpoints below the shared folder."""
+    root = session.checkpoint_root(spark).removeprefix("file:")
+    own = session._own_folder(spark).removeprefix("file:")
+    tables = os.listdir(own) if os.path.isdir(own) else []
+    return set(tables) | {x for x in os.listdir(root) if x.startswith("rdd-")}
+
+
+def test_a_batch_leaves_its_tables_only(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    root = str(tmp_path / "store")
+    store = ingest.posting_store(spark, root, 8)
+    before = left_over(spark)
+    ingest.fill_store(store, empty_tables(spark))
+    for i in range(3):
+        land(landing, f"{i}.json", [item(2 * i, "A"), item(2 * i + 1, f"B{i}")])
+    ingest.ingest_landed(spark, str(landing), "linkedin", store, str(tmp_path / "checkpoint"), NOW, files_per_batch=1)
+    assert store["job_postings"].count() == 4 and store["ingest_results"].count() == 6
+    assert left_over(spark) == before
